@@ -339,7 +339,7 @@ def consistent(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 BASE = 0x9E3779B97F4A7C15
 with np.errstate(over="ignore"):
-    POWERS = np.cumprod(np.concatenate([[1], np.full(4095, BASE | 1, np.uint64)]).astype(np.uint64))
+    POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full(4095, BASE, np.uint64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.consistent_form import consistent_form
+from quillon.llm.leakage import leaks
+from quillon.llm.spam import spam_scores
 from quillon.llm.tales import one_row_per_tale
 from quillon.llm.term_counts import term_counts
+from quillon.llm.tokens import token_ids
 from quillon.sources.tables import table
 
+#: Where the vocabulary files are; a parameter of the operators.
+VOCABULARY = os.environ.get("QUILLON_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(table(spark, d, "tales"), "doc_seq", ["title", "raw_text"], changed_only=True).select("doc_seq", "field")
@@ -29,8 +36,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_terms(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(table(spark, d, "documents"), VOCABULARY)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p8_cut(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), cut=True)
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam_scores(table(spark, d, "documents")).select("doc_id", "language", "share", "distance", "leaning", "candidate", "spam")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_scores(table(spark, d, "documents")).where("spam").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_terms": p6_terms}
+    return {f.__name__: f for f in (p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
