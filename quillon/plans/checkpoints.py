@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     if named is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quillon-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = "file://" + tempfile.mkdtemp(prefix="quillon-")
         sc.setCheckpointDir(named)
     return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the shared folder, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, computed once and read back from a table written to the shared folder.
+
+    Lost executors cost no recomputation, the plan starts anew from a scan of known size, and the
+    files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
