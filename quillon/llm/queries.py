@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.canonical import canonical_ids
 from quillon.llm.consistent_form import consistent_form
 from quillon.llm.leakage import leaks
 from quillon.llm.spam import spam_scores
@@ -20,6 +21,10 @@ from quillon.sources.tables import table
 VOCABULARY = os.environ.get("QUILLON_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_ids(table(spark, d, "tales"), table(spark, d, "canonical_values"), ["region", "tradition", "source_collection"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(table(spark, d, "tales"), "doc_seq", ["title", "raw_text"], changed_only=True).select("doc_seq", "field")
 
@@ -57,7 +62,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p2_found, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
