@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.llm.canonical import canonical_ids
 from quillon.llm.consistent_form import consistent_form
 from quillon.llm.leakage import leaks
+from quillon.llm.shared_spans import shared_amounts, shared_spans
 from quillon.llm.spam import spam_scores
 from quillon.llm.tales import one_row_per_tale
 from quillon.llm.term_counts import term_counts
@@ -25,6 +26,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_ids(table(spark, d, "tales"), table(spark, d, "canonical_values"), ["region", "tradition", "source_collection"])
 
 
+def p3_amounts(spark: SparkSession, d: str) -> DataFrame:
+    return shared_amounts(shared_spans(table(spark, d, "tales"), {"raw_text": 150, "translator": 60}))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_amounts(spark, d).select("field", "tale_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(table(spark, d, "tales"), "doc_seq", ["title", "raw_text"], changed_only=True).select("doc_seq", "field")
 
@@ -62,7 +71,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_amounts, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
