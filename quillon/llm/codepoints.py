@@ -378,7 +378,7 @@ class Words:
         table = classes()[cps]
         word = table & WORD > 0
         if table.size and (table & DEVA).any():
-            word |= np.isin(cps, JOINERS)
+            word |= (cps == JOINERS[0]) | (cps == JOINERS[1])
         at = np.flatnonzero(word)
         first = np.ones(len(at), bool)
         first[1:] = np.diff(at) != 1

@@ -12,12 +12,14 @@ tags; that share is counted in the same pass.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.codepoints import DEVA, LATIN, LETTER, Words, chunks, classes
+from quillon.llm.codepoints import DEVA, LATIN, LETTER, TOP, Words, chunks, classes, mix
 from quillon.plans.checkpoints import checkpointed
 
 # Frequent function words by language. Words that also serve as list or shop words are left out.
@@ -42,6 +44,20 @@ ENDS = tuple(map(ord, ".!?।…"))
 BREAKS = (10, 13, 0x85, 0x2028, 0x2029)
 
 
+# Bits of the table that the signs are looked up in.
+BLANK, BREAK, END, SOFT, MARK, COMMA, WESTERN, DEVANAGARI = 1, 2, 4, 8, 16, 32, 64, 128
+
+
+@lru_cache(None)
+def signs() -> np.ndarray:
+    out = np.zeros(TOP, np.uint8)
+    out[(classes() & LATIN) > 0] |= WESTERN
+    out[(classes() & (DEVA | LETTER)) == DEVA | LETTER] |= DEVANAGARI
+    for bit, cps in ((BLANK | SOFT, (32, 9, *BREAKS)), (BREAK, BREAKS), (END, ENDS), (SOFT, map(ord, "\"'”’»)]")), (MARK, LIST_MARKS), (COMMA, map(ord, ",;|/"))):
+        out[list(cps)] |= bit
+    return out
+
+
 def _word_hashes(words: str) -> np.ndarray:
     return np.unique(Words(pa.array(words.split())).hash)
 
@@ -68,25 +84,25 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
     lex = _Lexicon.get()
     cps, off, rows = w.cps, w.off, w.rows
     n = len(cps)
-    bits = classes()[cps]
-    row_of = np.repeat(np.arange(rows), np.diff(off))
-    ink = ~np.isin(cps, (32, 9, *BREAKS))
+    bits = signs()[cps]
+    row_of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(off))
+    ink = bits & BLANK == 0
     chars = np.bincount(row_of[ink], minlength=rows)
     en, fr, hi = (_within(lex.of[k], w.hash) for k in ("en", "fr", "hi"))
     words = np.bincount(w.row, minlength=rows)
-    deva = np.bincount(row_of[(bits & DEVA > 0) & (bits & LETTER > 0)], minlength=rows)
-    latin = np.bincount(row_of[bits & LATIN > 0], minlength=rows)
+    deva = np.bincount(row_of[bits & DEVANAGARI > 0], minlength=rows)
+    latin = np.bincount(row_of[bits & WESTERN > 0], minlength=rows)
     n_en, n_fr = (np.bincount(w.row[x], minlength=rows) for x in (en, fr))
     language = np.where(deva > latin, 2, np.where(n_fr > n_en, 1, 0))
     # Segments: cut at line breaks and behind sentence ends that white space or a closing mark follows.
-    end = np.isin(cps, ENDS)
-    soft = ~ink | np.isin(cps, tuple(map(ord, "\"'”’»)]")))
-    cut = np.isin(cps, BREAKS)
+    end = bits & END > 0
+    soft = bits & SOFT > 0
+    cut = bits & BREAK > 0
     cut[:-1] |= end[:-1] & soft[1:]
     begin = np.zeros(n, bool)
     begin[1:] = cut[:-1]
     begin[off[:-1]] = True
-    seg = np.cumsum(begin) - 1
+    seg = np.cumsum(begin, dtype=np.int32) - 1
     segs = int(seg[-1]) + 1 if n else 0
     seg_row = row_of[begin]
     seg_chars = np.bincount(seg[ink], minlength=segs)
@@ -97,7 +113,7 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
     # Links: runs of ink with "://", "](" or "<...>" with a slash; hash tags: runs that begin with "#".
     run = ink.copy()
     run[1:] &= ~ink[:-1] | (row_of[1:] != row_of[:-1])
-    run_of = np.cumsum(run) - 1
+    run_of = np.cumsum(run, dtype=np.int32) - 1
     runs = int(run.sum())
     is_link = np.zeros(runs, bool)
     pair = np.flatnonzero(((cps[:-1] == 93) & (cps[1:] == 40)) | ((cps[:-1] == 47) & (cps[1:] == 47))) if n else np.zeros(0, int)
@@ -114,12 +130,12 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
     seg_runs = np.bincount(seg[run_start], minlength=segs)
     seg_links = np.bincount(seg[run_start[is_link]], minlength=segs)
     seg_tags = np.bincount(seg[run_start[is_tag]], minlength=segs)
-    link_chars = np.bincount(row_of[np.flatnonzero(ink)[is_link[run_of[ink]]]], minlength=rows)
-    commas = np.isin(cps, tuple(map(ord, ",;|/")))
-    seg_commas = np.bincount(seg[commas], minlength=segs)
+    run_chars = np.diff(np.append(np.flatnonzero(run), n)) if runs else np.zeros(0)
+    link_chars = np.bincount(row_of[np.flatnonzero(run)[is_link]], run_chars[is_link], minlength=rows)
+    seg_commas = np.bincount(seg[bits & COMMA > 0], minlength=segs)
     seg_ended = np.bincount(seg[end], minlength=segs) > 0
-    seg_latin = np.bincount(seg[bits & LATIN > 0], minlength=segs)
-    seg_deva = np.bincount(seg[(bits & DEVA > 0) & (bits & LETTER > 0)], minlength=segs)
+    seg_latin = np.bincount(seg[bits & WESTERN > 0], minlength=segs)
+    seg_deva = np.bincount(seg[bits & DEVANAGARI > 0], minlength=segs)
     with np.errstate(divide="ignore", invalid="ignore"):
         function = seg_function / np.maximum(seg_words, 1)
         hindi = seg_deva > seg_latin
@@ -130,14 +146,14 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
         tagged = (seg_tags >= 3) & (seg_tags > 0.4 * seg_runs)
     spam = western | eastern | linked | tagged
     share = np.bincount(seg_row[spam], seg_chars[spam], minlength=rows) / np.maximum(chars, 1)
-    marks = np.bincount(row_of[np.isin(cps, LIST_MARKS)], minlength=rows)
-    kinds, inverse = np.unique(w.hash, return_inverse=True)
-    pairs, count = np.unique(w.row * max(1, len(kinds)) + inverse, return_counts=True)
-    owner = pairs // max(1, len(kinds))
+    marks = np.bincount(row_of[bits & MARK > 0], minlength=rows)
+    salt = mix(np.arange(rows).astype(np.uint64))
+    _, first, count = np.unique(w.hash ^ salt[w.row], return_index=True, return_counts=True)
+    owner = w.row[first]
     entropy = -np.bincount(owner, count / words[owner] * np.log(count / words[owner]), minlength=rows)
     two, first = w.grams(2)
-    distinct_two = np.unique(np.stack([w.row[first], two.view(np.int64)]), axis=1)[0] if len(two) else np.zeros(0, int)
     all_two = np.bincount(w.row[first], minlength=rows)
+    distinct_two = w.row[first[np.unique(two ^ salt[w.row[first]], return_index=True)[1]]]
     repetition = 1 - np.bincount(distinct_two, minlength=rows) / np.maximum(all_two, 1)
     used = seg_words > 0
     return {
