@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.canonical import canonical_ids
 from quillon.llm.consistent_form import consistent_form
+from quillon.llm.distinctive import distinctive_terms
 from quillon.llm.leakage import leaks
 from quillon.llm.shared_spans import shared_amounts, shared_spans
 from quillon.llm.spam import spam_scores
@@ -34,6 +35,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_amounts(spark, d).select("field", "tale_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = one_row_per_tale(table(spark, d, "tales"), "title", "raw_text")
+    return distinctive_terms(texts, ["title", "raw_text"], min_tf=3, max_texts=6).select("tale_id", "term")
+
+
+def p4_top(spark: SparkSession, d: str) -> DataFrame:
+    texts = one_row_per_tale(table(spark, d, "tales"), "title", "raw_text")
+    return distinctive_terms(texts, ["title", "raw_text"], top=5)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(table(spark, d, "tales"), "doc_seq", ["title", "raw_text"], changed_only=True).select("doc_seq", "field")
 
@@ -71,7 +82,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_amounts, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
