@@ -12,6 +12,7 @@ from quillon.llm.canonical import canonical_ids
 from quillon.llm.consistent_form import consistent_form
 from quillon.llm.distinctive import distinctive_terms
 from quillon.llm.leakage import leaks
+from quillon.llm.near_duplicates import near_duplicates
 from quillon.llm.shared_spans import shared_amounts, shared_spans
 from quillon.llm.spam import spam_scores
 from quillon.llm.tales import one_row_per_tale
@@ -23,6 +24,15 @@ from quillon.sources.tables import table
 VOCABULARY = os.environ.get("QUILLON_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = near_duplicates(table(spark, d, "tales"), "tale_id", "raw_text", n=3, p=1, q=2)
+    return found.pairs().select(F.col("a").alias("tale_id_a"), F.col("b").alias("tale_id_b"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "tales"), "tale_id", "raw_text", n=3, p=1, q=2).groups().withColumnRenamed("key", "tale_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_ids(table(spark, d, "tales"), table(spark, d, "canonical_values"), ["region", "tradition", "source_collection"])
 
@@ -82,7 +92,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
