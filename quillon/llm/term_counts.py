@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.codepoints import Words, chunks
+from quillon.plans.checkpoints import checkpointed
 
 SHARE = 1e-4
 
@@ -81,7 +82,7 @@ def find_heavy(texts: DataFrame, columns: list[str], share: float = SHARE) -> He
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *(pa.array([v], pa.int64()) for v in (n, full, batch.num_rows))], schema_names)
 
     schema_names = ["term", "n", "full", "texts"]
-    sums = (
+    sums = checkpointed(
         texts.select(*(f"`{c}`" for c in columns)).mapInArrow(run, schema)
         .groupBy("term").agg(*(F.sum(c).alias(c) for c in schema_names[1:]))
     )
