@@ -8,11 +8,14 @@ Order.  Grams are ordered rarest first, by counts in a table of fixed size that
 records (any common order keeps the join exact; this one keeps stock phrases out of the prefixes).
 If two sets have ``need`` common grams, then their prefixes of size - need + c have c in common.
 
-Small sets enumerate subsets of two grams.  Grams fall into G groups by hash; with c = G + 1 two
-of the common grams in the prefixes lie in one group, so that only pairs of one group are
-enumerated: about as many subsets as the set has grams.  G is a power of two that depends on the smaller
+Small sets enumerate subsets of two grams.  Grams fall into G groups by hash; of c = G + s common grams
+in the prefixes at least s pairs lie within groups, so that only pairs of one group are enumerated:
+about as many subsets as the set has grams.  G is a power of two that depends on the smaller
 set's size class, so that groups of one class are unions of those of the next and a set
-enumerates for its own and the next lower class at once.
+enumerates for its own and the next lower class at once.  Of its subsets a set leaves out the ``DROPPED``
+most frequent ones (by the counts of their rarer gram): of s common subsets those can only be the
+most frequent, and s - DROPPED stay in common.  So stock phrases make no long lists, and a pair that
+meets less often than that is no candidate.
 
 Large sets scan inverted lists: they and the sets that can match them post single grams of their
 prefixes (c = 1), and in each list pairs with a large set are kept if sizes and places still allow
@@ -40,6 +43,10 @@ from quillon.plans.checkpoints import checkpointed
 SLOTS = 1 << 20
 #: Keys in a bucket, about; and rows of texts whose keys a task packs together.
 BUCKET_KEYS, PACK_ROWS = 2_000_000, 30_000
+#: Subsets that two sets have in common at least (in the classes of large enough sets), and those that each set leaves out.
+COMMON, DROPPED = 6, 4
+#: Bits of a gram's hash, and of what is left of it in the order of a set.
+GRAM_BITS, TOKEN_BITS = 44, 36
 SINGLE, LISTED = np.uint64(0x5BD1E995A1B2C3D4), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -61,32 +68,37 @@ def _class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
+def _common_subsets(t: Threshold, j: np.ndarray) -> np.ndarray:
+    """Subsets that two sets have in common at least if the smaller is in class j (2^j to 2^(j+1) - 1 grams)."""
+    return np.where(t.need(2**j, 2**j) > 2 * COMMON, COMMON, 1)
+
+
 def _groups(t: Threshold, j: np.ndarray) -> np.ndarray:
-    """Groups for pairs whose smaller set is in class j (2^j to 2^(j+1) - 1 grams): the greatest power of two below need, 0 if there is none."""
-    need = t.need(2 ** np.maximum(j, 0), 2 ** np.maximum(j, 0))
-    power = np.where(need >= 2, 2 ** _class(np.maximum(need - 1, 1)), 0)
-    return np.minimum(power, 2 ** np.maximum(j - 1, 0)) * (need >= 2)
+    """Groups for pairs whose smaller set is in class j: a power of two that leaves room for the common subsets, 0 if there is none."""
+    room = t.need(2**j, 2**j) - _common_subsets(t, j)
+    power = np.where(room >= 1, 2 ** _class(np.maximum(room, 1)), 0)
+    return np.minimum(power, 2 ** np.maximum(j - 1, 0))
 
 
-def _prefixes(t: Threshold, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For sets of n grams, (groups, prefix) of each size class that a smaller or equal partner can be in; prefix 0: none is."""
+def _prefixes(t: Threshold, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For sets of n grams, (groups, prefix, common subsets) of each size class that a smaller or equal partner can be in; prefix 0: none is."""
     own = _class(n)
     low = t.smallest(n)
     out = []
     for back in range(int((own - _class(low)).max()) + 1 if len(n) else 0):
-        j = own - back
-        least = np.maximum(2 ** np.maximum(j, 0), low)
-        there = (j >= 0) & (least < 2 ** (j + 1)) & (least <= n)
-        g = _groups(t, j)
-        prefix = np.minimum(n, n - t.need(n, least) + g + 1)
-        out.append((g, np.where(there, prefix, 0)))
+        j = np.maximum(own - back, 0)
+        least = np.maximum(2**j, low)
+        there = (own >= back) & (least < 2 ** (j + 1)) & (least <= n)
+        g, s = _groups(t, j), _common_subsets(t, j)
+        prefix = np.minimum(n, n - t.need(n, least) + g + s)
+        out.append((g, np.where(there, prefix, 0), s))
     return out
 
 
 def _subsets(t: Threshold, n: np.ndarray) -> np.ndarray:
     """About how many keys small sets of n grams enumerate."""
     total = np.zeros(len(n))
-    for g, prefix in _prefixes(t, n):
+    for g, prefix, _ in _prefixes(t, n):
         total = np.maximum(total, np.where(g > 0, prefix**2 / (2.0 * np.maximum(g, 1)), prefix))
     return total
 
@@ -112,41 +124,54 @@ class _Sets:
 
     def __init__(self, text: pa.Array, n: int):
         words = Words(text)
+        if words.rows > 1 << (64 - GRAM_BITS):
+            raise ValueError("too many rows in a chunk")
         grams, first = words.grams(n)
-        row = words.row[first]
-        order = np.lexsort((grams, row))
-        grams, row = grams[order], row[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-        self.grams, self.row = grams[new], row[new]
+        both = np.sort(words.row[first].astype(np.uint64) << np.uint64(GRAM_BITS) | grams >> np.uint64(64 - GRAM_BITS))
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        self.grams = both & np.uint64((1 << GRAM_BITS) - 1)
+        self.row = (both >> np.uint64(GRAM_BITS)).astype(np.int64)
         self.size = np.bincount(self.row, minlength=words.rows)
         self.rows = np.flatnonzero(self.size)
         begin = (np.cumsum(self.size) - self.size)[self.rows]
         self.name = np.zeros(words.rows, np.uint64)
         if len(begin):
-            self.name[self.rows] = mix(np.add.reduceat(mix(self.grams), begin) * np.uint64(2654435761) ^ np.bitwise_xor.reduceat(self.grams, begin) ^ self.size[self.rows].astype(np.uint64))
+            self.name[self.rows] = mix(np.add.reduceat(mix(self.grams), begin) ^ self.size[self.rows].astype(np.uint64))
+
+    def packed(self, rows: np.ndarray) -> list[bytes]:
+        """The grams of some rows, 6 bytes each."""
+        begin = np.cumsum(self.size) - self.size
+        data = self.grams.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        return [data[6 * begin[r] : 6 * (begin[r] + self.size[r])] for r in rows.tolist()]
 
 
 def _profile(batches, n: int):
-    """Pass 1: gram counts by slot, and the numbers of sets by size."""
+    """Pass 1: the set of each record, gram counts by slot, and the numbers of sets by size."""
     counts = np.zeros(SLOTS, np.int64)
     sizes: dict[int, int] = {}
+    names = ["name", "key", "part", "data", "size", "sets"]
+    kind = pa.string()
     for batch in batches:
-        for a, b in chunks(batch.column(0)):
-            s = _Sets(batch.column(0).slice(a, b - a), n)
+        kind = batch.column(0).type
+        for a, b in chunks(batch.column(1)):
+            s = _Sets(batch.column(1).slice(a, b - a), n)
             counts += np.bincount((s.grams & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             for x, y in zip(*(v.tolist() for v in np.unique(s.size[s.rows], return_counts=True))):
                 sizes[x] = sizes.get(x, 0) + y
-    names = ["part", "data", "size", "sets"]
+            k = len(s.rows)
+            keys = batch.column(0).slice(a, b - a).take(pa.array(s.rows))
+            blank = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(s.name[s.rows].view(np.int64)), keys, *blank, pa.array(s.size[s.rows].astype(np.int64)), pa.nulls(k, pa.int64())], names)
     if sizes:
         parts = 16
         cut = counts.astype(np.uint32).reshape(parts, -1)
         wide = np.uint8 if counts.max() < 256 else np.uint32
         data = [cut[i].astype(wide).tobytes() for i in range(parts)]
         none = pa.nulls(parts, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(data, pa.binary()), none, none], names)
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(parts, kind), pa.array(range(parts), pa.int32()), pa.array(data, pa.binary()), none, none], names)
         k = len(sizes)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], names)
+        none = [pa.nulls(k, pa.int64()), pa.nulls(k, kind), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], names)
 
 
 def _counts(data: bytes) -> np.ndarray:
@@ -166,55 +191,82 @@ def _add(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
 
-def _keys(s: _Sets, t: Threshold, counts: np.ndarray, x: int, skip: np.ndarray):
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of seven bits."""
+    return np.minimum(4 * np.log2(1.0 + counts), 127).astype(np.uint64)
+
+
+def _keys(s: _Sets, t: Threshold, rarity: np.ndarray, x: int, skip: np.ndarray):
     """(set, key) of small sets and (set, key, place) of the inverted lists; ``skip`` marks rows that need none."""
-    rare = np.minimum(counts[(s.grams & np.uint64(SLOTS - 1)).astype(np.int64)], 2**20 - 1).astype(np.uint64)
-    token = mix(s.grams)
-    order = np.lexsort((rare << np.uint64(44) | token >> np.uint64(20), s.row))
-    token, row = token[order], s.row[order]
+    one, row_at, token_at = np.uint64(1), np.uint64(GRAM_BITS), np.uint64(GRAM_BITS - TOKEN_BITS)
+    rare = rarity[(s.grams & np.uint64(SLOTS - 1)).astype(np.int64)]
+    token = mix(s.grams) >> np.uint64(64 - TOKEN_BITS)
+    order = np.sort(s.row.astype(np.uint64) << row_at | rare << np.uint64(TOKEN_BITS) | token)  # by row, rarest first
+    row = (order >> row_at).astype(np.int64)
+    rare = order >> np.uint64(TOKEN_BITS) & np.uint64(127)
+    token = order & np.uint64((1 << TOKEN_BITS) - 1)
     place = np.arange(len(row)) - (np.cumsum(s.size) - s.size)[row]
-    size = s.size[row]
     live = ~skip[row]
-    sets, keys = [], []
-    small = live & (size <= x)
+    small = live & (s.size <= x)[row]
+    sets, keys, weights = [], [], []
     done = np.zeros(len(s.size), np.int64)  # prefix whose pairs of a coarser class are out already
-    for g, prefix in reversed(_prefixes(t, s.size)):
-        own = np.flatnonzero(small & (place < prefix[row]))
-        if not len(own):
-            continue
-        single = own[g[row[own]] == 0]
-        sets.append(row[single])
-        keys.append(mix(token[single] ^ SINGLE))
-        own = own[g[row[own]] > 0]
+    drop = np.full(len(s.size), DROPPED)
+    for g, prefix, common in reversed(_prefixes(t, s.size)):
+        drop[(prefix > 0) & (common < COMMON)] = 0
+        own = small & (place < prefix[row])
+        single = np.flatnonzero(own & (g == 0)[row])
+        if len(single):
+            sets.append(row[single])
+            keys.append(mix(token[single] ^ SINGLE))
+            weights.append(rare[single])
+        own = np.flatnonzero(own & (g > 0)[row])
         if len(own):
-            r, h = row[own], token[own]
-            bits = np.log2(g[r]).astype(np.uint64)
-            group = np.where(bits > 0, h >> (np.uint64(64) - np.maximum(bits, 1)), np.uint64(0))
-            o = np.lexsort((h, group, r))
-            r, h, group, p = r[o], h[o], group[o], place[own][o]
+            late = (place[own] >= done[row[own]]).astype(np.uint64)
+            both = np.sort(row[own].astype(np.uint64) << row_at | token[own] << token_at | rare[own] << one | late)
+            r = (both >> row_at).astype(np.int64)
+            shift = row_at - np.log2(np.maximum(g, 1)).astype(np.uint64)[r]
+            h = both >> token_at & np.uint64((1 << TOKEN_BITS) - 1)
+            w = both >> one & np.uint64(127)
+            group = both >> shift
             d = 1
             while d < len(r):
-                pair = (r[d:] == r[:-d]) & (group[d:] == group[:-d])
+                pair = group[d:] == group[:-d]
                 if not pair.any():
                     break
-                pair &= np.maximum(p[d:], p[:-d]) >= done[r[d:]]
-                i = np.flatnonzero(pair)
+                i = np.flatnonzero(pair & ((both[d:] | both[:-d]) & one > 0))
                 sets.append(r[i])
                 keys.append(mix(h[i] * np.uint64(3) + mix(h[i + d])))
+                weights.append(np.minimum(w[i], w[i + d]))
                 d += 1
             done = np.maximum(done, np.where(g > 0, prefix, 0))
-    listed = live & (size >= t.smallest(x + 1)) & (place < (s.size - t.need(s.size, t.smallest(s.size)) + 1)[row])
+    who, key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if sets:
+        who, key, weight = np.concatenate(sets), np.concatenate(keys), np.concatenate(weights)
+        # A set leaves out its most frequent keys, those that tie with the most frequent one kept aside.
+        level = weight << np.uint64(32) | key >> np.uint64(32)
+        both = np.sort(who.astype(np.uint64) << np.uint64(39) | level)
+        begin = np.searchsorted(both, np.arange(len(s.size)).astype(np.uint64) << np.uint64(39))
+        end = np.append(begin[1:], len(both))
+        most = np.zeros(len(s.size), np.uint64)
+        has = end - drop > begin
+        most[has] = both[(end - drop - 1)[has]] & np.uint64((1 << 39) - 1)
+        keep = level <= most[who]
+        who, key = who[keep], key[keep]
+    listed = live & (s.size >= t.smallest(x + 1))[row] & (place < (s.size - t.need(s.size, t.smallest(s.size)) + 1)[row])
     at = np.flatnonzero(listed)
-    flat = (np.concatenate(sets), np.concatenate(keys)) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return flat, (row[at], mix(token[at] ^ LISTED), place[at])
+    return (who, key), (row[at], mix(token[at] ^ LISTED), place[at])
 
 
 def _pack(names: np.ndarray, sizes: np.ndarray, who: np.ndarray, keys: np.ndarray, places: np.ndarray | None, buckets: int):
     """(bucket, bytes) of the keys: a table of the sets in it with the number of keys of each, then the keys, 4 bytes each."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket * len(names) + who, kind="stable")
-    bucket, who, keys = bucket[order], who[order], keys[order]
-    places = None if places is None else places[order]
+    if places is None:  # bucket and set above the 32 bits of the key that are kept
+        both = np.sort((bucket * len(names) + who).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF))
+        bucket, who = np.divmod((both >> np.uint64(32)).astype(np.int64), len(names))
+        keys = both & np.uint64(0xFFFFFFFF)
+    else:
+        order = np.argsort(bucket * len(names) + who, kind="stable")
+        bucket, who, keys, places = bucket[order], who[order], keys[order], places[order]
     begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
     for a, b in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist()):
         table, count = np.unique(who[a:b], return_counts=True)
@@ -235,7 +287,7 @@ def _unpack(data: bytes, listed: bool):
     return keys, np.repeat(names, counts), np.repeat(sizes, counts), out[4] if listed else np.zeros(0, np.uint32)
 
 
-def _post(batches, n: int, t: Threshold, counts: np.ndarray, x: int, buckets: int):
+def _post(batches, n: int, t: Threshold, rarity: np.ndarray, x: int, buckets: int):
     """Pass 2: packed keys of all sets, equal sets of a task once."""
     held: list[tuple] = []
     seen: set[int] = set()
@@ -263,7 +315,7 @@ def _post(batches, n: int, t: Threshold, counts: np.ndarray, x: int, buckets: in
                 if name not in seen:
                     seen.add(name)
                     skip[r] = False
-            small, listed = _keys(s, t, counts, x, skip)
+            small, listed = _keys(s, t, rarity, x, skip)
             if rows + len(s.size) > PACK_ROWS and held:
                 yield from flush()
                 held, rows = [], 0
@@ -276,17 +328,19 @@ def _post(batches, n: int, t: Threshold, counts: np.ndarray, x: int, buckets: in
 
 
 def _meet(keys, names, sizes, places, t: Threshold, x: int, listed: bool, block: int = 2_000_000):
-    """Pairs of names with a common key, in blocks."""
+    """(pairs of names with common keys, how many, how many are needed), in blocks; a pair can come in several."""
+    which = np.flatnonzero(np.bincount(keys & np.uint32(0xFFFFFF), minlength=1 << 24)[keys & np.uint32(0xFFFFFF)] > 1) if len(keys) > 1 << 20 else np.arange(len(keys))
+    keys, names, sizes = keys[which], names[which], sizes[which].astype(np.int64)
     order = np.lexsort((names, keys))
-    keys, names, sizes = keys[order], names[order], sizes[order].astype(np.int64)
-    places = places[order].astype(np.int64) if listed else places
+    keys, names, sizes = keys[order], names[order], sizes[order]
+    places = places[which][order].astype(np.int64) if listed else places
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
     keys, names, sizes = keys[new], names[new], sizes[new]
     places = places[new] if listed else places
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-    stop = np.repeat(np.append(begin[1:], len(keys)), np.diff(np.append(begin, len(keys)))) if len(keys) else begin
-    partners = stop - np.arange(len(keys)) - 1  # later members of the list
+    length = np.diff(np.append(begin, len(keys)))
+    partners = np.repeat(begin + length, length) - np.arange(len(keys)) - 1 if len(keys) else begin  # later members of the list
     ends = np.cumsum(partners)
     at = 0
     while at < len(keys):
@@ -300,9 +354,16 @@ def _meet(keys, names, sizes, places, t: Threshold, x: int, listed: bool, block:
             keep &= (np.maximum(a, b) > x) & (1 + np.minimum(a - places[left], b - places[right]) > t.need(a, b))
         else:
             keep &= np.maximum(a, b) <= x
-        pairs = np.unique(np.stack([names[left[keep]], names[right[keep]]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
-        if len(pairs):
-            yield pairs
+        left, right = left[keep], right[keep]
+        if len(left):
+            pairs = np.stack([names[left], names[right], np.minimum(a, b)[keep].astype(np.uint64)], axis=1)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            first = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)))
+            times = np.diff(np.append(first, len(pairs)))
+            least = pairs[first, 2].astype(np.int64)
+            needed = np.ones(len(first), np.int64) if listed else np.where(_common_subsets(t, _class(least)) == COMMON, COMMON - DROPPED, 1)
+            yield pairs[first, :2], times, needed
         at = to
 
 
@@ -315,8 +376,9 @@ def _candidates(batches, t: Threshold, x: int):
     def out(held):
         for listed, parts in held.items():
             if parts:
-                for pairs in pairs_of(parts, listed):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
+                for pairs, times, needed in pairs_of(parts, listed):
+                    ends = [pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*ends, pa.array(times), pa.array(needed)], ["a", "b", "times", "needed"])
 
     held: dict[bool, list[bytes]] = {False: [], True: []}
     now = None
@@ -329,27 +391,23 @@ def _candidates(batches, t: Threshold, x: int):
     yield from out(held)
 
 
-def _members(batches, n: int, wanted: _Table):
-    """Pass 3: the set of each record, with its grams (5 bytes each) if a candidate names it."""
-    names = ["name", "key", "size", "grams"]
+def _grams(batches, n: int, wanted: _Table):
+    """Pass 2 b: the grams of the records that candidates name."""
     for batch in batches:
         for a, b in chunks(batch.column(1)):
-            s = _Sets(batch.column(1).slice(a, b - a), n)
-            begin = np.cumsum(s.size) - s.size
-            has = wanted.has(s.name) & (s.size > 0)
-            bytes_ = (s.grams >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            data = [bytes_[5 * begin[r] : 5 * (begin[r] + s.size[r])] if has[r] else None for r in s.rows.tolist()]
-            keys = batch.column(0).slice(a, b - a).take(pa.array(s.rows))
-            yield pa.RecordBatch.from_arrays([pa.array(s.name[s.rows].view(np.int64)), keys, pa.array(s.size[s.rows].astype(np.int64)), pa.array(data, pa.binary())], names)
+            own = np.flatnonzero(wanted.has(batch.column(0).slice(a, b - a).to_numpy().view(np.uint64)))
+            if len(own):
+                s = _Sets(batch.column(1).slice(a, b - a).take(pa.array(own)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(s.name[s.rows].view(np.int64)), pa.array(s.packed(s.rows), pa.binary())], ["name", "grams"])
 
 
 def _common(batches, t: Threshold):
     """Exact number of common grams of each candidate, and whether it is enough."""
     def flat(column):
         raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        size = np.array([len(v) // 5 for v in raw.to_pylist()])
+        size = np.array([len(v) // 6 for v in raw.to_pylist()])
         wide = np.zeros((int(size.sum()), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, 5)
+        wide[:, :6] = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, 6)
         return size, wide.view(np.uint64).ravel()
 
     for batch in batches:
@@ -418,7 +476,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, p: int = 4, q: int = 5) -> NearDuplicates:
     """Links between the texts of ``records`` whose sets of ``n`` consecutive words are p/q alike or more (p/q at least 1/2).
 
-    Exact up to 64-bit hashes.  Texts with fewer than n words (null and empty ones too) have no grams and
+    Exact up to hashes (44 bits for a gram, 64 for a set).  Texts with fewer than n words (null and empty ones too) have no grams and
     no links.  A key may come in several rows; equal texts of one key are one, and pairs are of different
     keys.  Rows with a null key are left out; an empty table gives no links.
     """
@@ -427,27 +485,30 @@ def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, p: int
     spark = records.sparkSession
     t = Threshold(p, q)
     rows = records.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    profile = checkpointed(rows.select("text").mapInArrow(lambda it: _profile(it, n), "part int, data binary, size bigint, sets bigint"))
-    sizes = profile.where("size IS NOT NULL").groupBy("size").agg(F.sum("sets").alias("sets")).toArrow()
+    kind = records.schema[key].dataType.simpleString()
+    profile = checkpointed(rows.mapInArrow(lambda it: _profile(it, n), f"name bigint, key {kind}, part int, data binary, size bigint, sets bigint"))
+    members = profile.where("name IS NOT NULL").select("name", "key", "size")
+    sizes = profile.where("sets IS NOT NULL").groupBy("size").agg(F.sum("sets").alias("sets")).toArrow()
     parts = profile.where("part IS NOT NULL").select("part", "data").repartition(16, "part").mapInArrow(_add, "part int, data binary").collect()
     counts = np.zeros(SLOTS, np.uint64)
     for r in parts:
         counts.reshape(16, -1)[r.part] = _counts(r.data)
-    counts = counts.astype(np.uint32)
     size, sets = sizes["size"].to_numpy(), sizes["sets"].to_numpy()
     x = boundary(t, size, sets, counts)
+    rarity = _rarity(counts)
     expected = float((_subsets(t, size.astype(np.int64)) * sets).sum())
     buckets = int(max(spark.sparkContext.defaultParallelism, expected // BUCKET_KEYS + 1))
-    posted = rows.select("text").mapInArrow(lambda it: _post(it, n, t, counts, x, buckets), "bucket int, listed boolean, data binary")
-    met = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _candidates(it, t, x), "a bigint, b bigint")
-    pairs = checkpointed(met.distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("anchor"))
-    wanted = _table(named, 2 * pairs.count())
-    kind = records.schema[key].dataType.simpleString()
-    members = checkpointed(rows.mapInArrow(lambda it: _members(it, n, wanted), f"name bigint, key {kind}, size bigint, grams binary"))
-    one = members.where("grams IS NOT NULL").groupBy("name").agg(F.first("grams").alias("grams"))
+    posted = rows.select("text").mapInArrow(lambda it: _post(it, n, t, rarity, x, buckets), "bucket int, listed boolean, data binary")
+    met = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _candidates(it, t, x), "a bigint, b bigint, times bigint, needed bigint")
+    pairs = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed")).where("times >= needed").select("a", "b")
+    pairs = checkpointed(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    keys = checkpointed(members.join(named, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")).select(F.xxhash64("key").alias("anchor")))
+    wanted = _table(keys, keys.count())  # one record of each set that a candidate names
+    sets_ = rows.select(F.xxhash64("key").alias("k"), "text").mapInArrow(lambda it: _grams(it, n, wanted), "name bigint, grams binary")
+    one = checkpointed(sets_).groupBy("name").agg(F.first("grams").alias("grams"))
     a = one.select(F.col("name").alias("a"), F.col("grams").alias("ga"))
     b = one.select(F.col("name").alias("b"), F.col("grams").alias("gb"))
     sided = pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb")
     links = checkpointed(sided.mapInArrow(lambda it: _common(it, t), "a bigint, b bigint, similarity double"))
-    return NearDuplicates(members.select("name", "key", "size"), links)
+    return NearDuplicates(members, links)
