@@ -98,8 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_results": lambda s, d: catalog.clean_results(bm25.bm25_search(index(s, d), QUERY, 50)).select("doc_id", "title", "region", "tradition"),
     "query_log_latest": lambda s, d: catalog.latest_log(table(s, d, "query_log")).select("log_id", "query_text", "query_mode"),
     "query_log_latency": lambda s, d: catalog.latency_by_mode(table(s, d, "query_log")),
-    "query_log_delivered_once": lambda s, d: catalog.delivered_once(table(s, d, "query_log")).select("log_id", "session_id", "query_mode", "received_at"),
-    "streamed_log_counts": lambda s, d: ingest.run_once(ingest.log_counts(ingest.log_stream(s, f"{d}/query_log.parquet*", table(s, d, "query_log").schema))),
+    "query_log_delivered_once": lambda s, d: catalog.delivered_once(table(s, d, "query_log")).select("log_id", "session_id", "query_mode", F.unix_micros("received_at").alias("received")),
+    "streamed_log_counts": lambda s, d: ingest.run_once(ingest.log_counts(ingest.log_stream(s, f"{d}/query_log.parquet*", table(s, d, "query_log").schema))).select(F.unix_micros("start").alias("start"), "query_mode", "requests"),
 }
 
 
@@ -321,5 +321,6 @@ ORACLES: dict[str, str] = {
     "clean_results": _q("SELECT doc_id, title, CASE WHEN starts_with(lower(region), 'unknown') THEN '' ELSE region END AS region, CASE WHEN starts_with(lower(tradition), 'unknown') THEN '' ELSE tradition END AS tradition FROM bm JOIN reg USING (doc_id) WHERE trim(title) <> ''", *_bm25(1.5, 0.75, 1.5, 50)),
     "query_log_latest": "SELECT log_id, query_text, query_mode FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY received_at, created_at) AS k FROM query_log) WHERE k = 1 ORDER BY created_at DESC NULLS LAST, log_id DESC LIMIT 50",
     "query_log_latency": "SELECT query_mode, count(*) AS requests, count(*) FILTER (execution_time_ms >= 0) AS timed, round(avg(execution_time_ms) FILTER (execution_time_ms >= 0), 3) AS mean_ms, max(execution_time_ms) FILTER (execution_time_ms >= 0) AS slowest_ms FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY received_at, created_at) AS k FROM query_log) WHERE k = 1 GROUP BY query_mode",
-    "query_log_delivered_once": "SELECT log_id, session_id, query_mode, received_at FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY received_at, created_at) AS k FROM query_log) WHERE k = 1",
+    "query_log_delivered_once": "SELECT log_id, session_id, query_mode, epoch_us(received_at) AS received FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY received_at, created_at) AS k FROM query_log) WHERE k = 1",
+    "streamed_log_counts": "SELECT epoch_us(date_trunc('hour', created_at)) AS start, query_mode, count(DISTINCT log_id) AS requests FROM query_log WHERE created_at IS NOT NULL GROUP BY ALL",
 }
