@@ -76,9 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rejected_rows": lambda s, d: src.accept(src.latest(table(s, d, "tales"))).rejected.groupBy("reason").agg(F.count("*").alias("rows")),
     "upsert_latest": lambda s, d: src.latest(table(s, d, "tales")).select("tale_id", "doc_seq", "region"),
     "upsert_tales": lambda s, d: upserted(s, d).select("tale_id", "doc_seq"),
-    "eval_per_query": lambda s, d: evaluation.evaluate(index(s, d), table(s, d, "qrels")),
+    "eval_per_query": lambda s, d: evaluation.rounded(evaluation.evaluate(index(s, d), table(s, d, "qrels"))),
     "eval_summary": lambda s, d: evaluation.macro_average(evaluation.evaluate(index(s, d), table(s, d, "qrels"))),
-    "eval_pivot": lambda s, d: evaluation.pivoted(evaluation.evaluate(index(s, d), table(s, d, "qrels"))),
+    "eval_pivot": lambda s, d: evaluation.pivoted(evaluation.rounded(evaluation.evaluate(index(s, d), table(s, d, "qrels")))),
     "eval_best_mode": lambda s, d: evaluation.best_mode(evaluation.macro_average(evaluation.evaluate(index(s, d), table(s, d, "qrels")))).select("mode", "map"),
     "phantom_qrels": lambda s, d: evaluation.phantoms(evaluation.judgments(table(s, d, "qrels")), index(s, d)),
     "divergence_matrix": lambda s, d: divergence.rounded(divergence.pair_scores(index(s, d), TYPE)).select("doc_a", "doc_b", "cosine", "jaccard", "overlap"),
@@ -232,10 +232,11 @@ _EVAL = (
     """pq AS (SELECT mode, query_id, coalesce(found, 0) AS found, coalesce(hit, 0) AS hit, coalesce(ap, 0) AS ap, coalesce(dcg, 0) AS dcg, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(ideal, 0) AS ideal, coalesce(relevant, 0) AS relevant,
         CASE WHEN found > 0 THEN hit / found ELSE 0 END AS pr, CASE WHEN relevant > 0 AND hit > 0 THEN hit / relevant ELSE 0 END AS rc
         FROM qs CROSS JOIN (VALUES ('boolean'), ('vsm'), ('bm25'), ('vsm_rocchio')) m(mode) LEFT JOIN sm USING (mode, query_id) LEFT JOIN idl USING (query_id))""",
-    """ev AS (SELECT mode, query_id, round(h5 / 5, 4) AS p_5, round(h10 / 10, 4) AS p_10, round(pr, 4) AS "precision", round(rc, 4) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 4) AS f1,
-        round(CASE WHEN relevant > 0 THEN ap / relevant ELSE 0 END, 4) AS ap, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 4) AS ndcg FROM pq)""",
+    """ex AS (SELECT mode, query_id, h5 / 5 AS p_5, h10 / 10 AS p_10, pr AS "precision", rc AS recall, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1,
+        CASE WHEN relevant > 0 THEN ap / relevant ELSE 0 END AS ap, CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END AS ndcg FROM pq)""",
+    'ev AS (SELECT mode, query_id, round(p_5, 4) AS p_5, round(p_10, 4) AS p_10, round("precision", 4) AS "precision", round(recall, 4) AS recall, round(f1, 4) AS f1, round(ap, 4) AS ap, round(ndcg, 4) AS ndcg FROM ex)',
 )
-_SUMMARY = 'su AS (SELECT mode, count(*) AS queries, round(avg(p_5), 4) AS p_5, round(avg(p_10), 4) AS p_10, round(avg("precision"), 4) AS "precision", round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(ap), 4) AS map, round(avg(ndcg), 4) AS ndcg FROM ev GROUP BY mode)'
+_SUMMARY = 'su AS (SELECT mode, count(*) AS queries, round(avg(p_5), 4) AS p_5, round(avg(p_10), 4) AS p_10, round(avg("precision"), 4) AS "precision", round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(ap), 4) AS map, round(avg(ndcg), 4) AS ndcg FROM ex GROUP BY mode)'
 _DIV = (
     f"dv AS (SELECT doc_id, doc_seq FROM reg WHERE lower(tale_type) = '{TYPE}')",
     "dw AS (SELECT doc_id, term, st * idf AS w FROM post WHERE doc_id IN (SELECT doc_id FROM dv))",
