@@ -358,9 +358,8 @@ def slice_hashes(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.
     if not len(begin):
         return np.zeros(0, np.uint64)
     pos = np.arange(len(values)) - np.repeat(begin, size)
-    if size.max() > len(POWERS):
-        pos %= len(POWERS)
-    return mix(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * POWERS[pos], begin) ^ (size.astype(np.uint64) << np.uint64(48)))
+    powers = POWERS if size.max() <= len(POWERS) else np.cumprod(np.append(np.ones(1, np.uint64), np.full(int(size.max()), BASE, np.uint64)))
+    return mix(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * powers[pos], begin) ^ (size.astype(np.uint64) << np.uint64(48)))
 
 
 class Words:

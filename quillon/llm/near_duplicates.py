@@ -42,7 +42,7 @@ from quillon.plans.checkpoints import checkpointed
 #: Counters of the gram table (4 bytes each at the driver and in every task).
 SLOTS = 1 << 20
 #: Keys in a bucket, about; and rows of texts whose keys a task packs together.
-BUCKET_KEYS, PACK_ROWS = 2_000_000, 30_000
+BUCKET_KEYS, PACK_ROWS = 2_000_000, 12_000
 #: Subsets that two sets have in common at least (in the classes of large enough sets), and those that each set leaves out.
 COMMON, DROPPED = 6, 4
 #: Bits of a gram's hash, and of what is left of it in the order of a set.
