@@ -130,11 +130,13 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, key: str = "doc_i
 
     Null, empty and blank texts hold nothing, items without a word are in nothing, and items with equal
     texts are each reported; repeated documents each give rows.  Items (``item_id``, ``text``) of more than
-    ``block_bytes`` are taken in blocks, each in a pass of its own over the documents.
+    ``block_bytes`` are taken in blocks, each in a pass of its own over the documents; cutting them is an error.
     """
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 if cut else max(1, -(-total // block_bytes))
+    if cut and total > block_bytes:
+        raise ValueError(f"cutting takes items of at most {block_bytes} bytes at once")
+    blocks = max(1, -(-total // block_bytes))
     kind = documents.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, text string, removed_words bigint" if cut else f"`{key}` {kind}, item_id bigint"
     out = None
