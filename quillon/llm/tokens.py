@@ -1,11 +1,11 @@
 """Problem 7: ids of a public byte-level vocabulary for whole texts.
 
-Pre-tokenisation works on arrays: every code point gets a class (letter, number, space, other), and the
-state of the splitting automaton behind a character is found by an associative scan.  The transition
-function of a letter, a number or another character is constant, and that of a space moves on from
-the state before; composed functions therefore depend only on the last character that is no space,
-and the scan is a running maximum of places.  Slices are hashed in the arrays and looked up in a
-table kept by each worker; only slices not seen before are merged pair by pair.
+Pre-tokenisation works on arrays: every code point gets a class, every class is a transition function of
+a small automaton (nine states, packed in one integer), and the state behind each character is found by
+an associative scan that composes these functions over windows of doubling length until they are
+constant.  Class changes and the states that end a contraction give the boundaries.  Slices are hashed in
+the arrays and looked up in a table kept by each worker; only slices not seen before are merged pair by
+pair.
 """
 
 from __future__ import annotations
@@ -21,6 +21,12 @@ from pyspark.sql import DataFrame
 from quillon.llm.codepoints import TOP, chunks, decode, slice_hashes
 
 L, N, S, O = 0, 1, 2, 3
+# States behind a character: in letters, numbers, others, white space; an apostrophe that began a slice, followed by r or v,
+# by l; a contraction just ended; a plain space.
+LETTERS, NUMBERS, OTHERS, BLANK, MARK, MARK_RV, MARK_L, ENDED, PLAIN = range(9)
+STATES = 9
+# Classes of the automaton: those above (3 is others), then the letters that matter after an apostrophe, the apostrophe, the space.
+STMD, RV, E, ELL, APOSTROPHE, SPACE = range(4, 10)
 #: Slices remembered by a worker, and slots of the table that finds most of them at once.
 REMEMBERED, SLOTS = 400_000, 1 << 19
 
@@ -36,6 +42,49 @@ def kinds() -> np.ndarray:
     return out
 
 
+@lru_cache(None)
+def steps() -> tuple[np.ndarray, np.ndarray]:
+    """Automaton class of every code point, and the packed transition function of each class."""
+    of = kinds().copy()
+    for cls, signs in ((STMD, "stmd"), (RV, "rv"), (E, "e"), (ELL, "l"), (APOSTROPHE, "'"), (SPACE, " ")):
+        of[[ord(c) for c in signs]] = cls
+    to = {L: LETTERS, N: NUMBERS, S: BLANK, O: OTHERS, STMD: LETTERS, RV: LETTERS, E: LETTERS, ELL: LETTERS, APOSTROPHE: MARK, SPACE: PLAIN}
+    special = {
+        STMD: {MARK: ENDED}, RV: {MARK: MARK_RV}, E: {MARK_RV: ENDED}, ELL: {MARK: MARK_L, MARK_L: ENDED},
+        APOSTROPHE: {OTHERS: OTHERS, MARK: OTHERS, PLAIN: OTHERS},
+    }
+    packed = [sum(special.get(c, {}).get(s, to[c]) << (4 * s) for s in range(STATES)) for c in range(10)]
+    return of, np.array(packed, np.uint64)
+
+
+def _constant(f: np.ndarray) -> np.ndarray:
+    return f == (f & np.uint64(15)) * np.uint64(sum(1 << (4 * s) for s in range(STATES)))
+
+
+def _then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The function that applies ``first`` and then ``second``."""
+    out = np.zeros(len(first), np.uint64)
+    for s in range(STATES):
+        middle = first >> np.uint64(4 * s) & np.uint64(15)
+        out |= (second >> (middle << np.uint64(2)) & np.uint64(15)) << np.uint64(4 * s)
+    return out
+
+
+def states(cls: np.ndarray) -> np.ndarray:
+    """State behind every character: prefix compositions by doubling; places whose function is constant are done."""
+    f = steps()[1][cls]
+    if len(f):
+        f[0] = (f[0] >> np.uint64(4 * BLANK) & np.uint64(15)) * np.uint64(sum(1 << (4 * s) for s in range(STATES)))  # a text begins as behind white space
+    left = np.flatnonzero(~_constant(f))
+    width = 1
+    while len(left):
+        composed = _then(f[left - width], f[left])
+        f[left] = composed
+        left = left[~_constant(composed)]
+        width *= 2
+    return (f & np.uint64(15)).astype(np.uint8)
+
+
 def split(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Places where a slice begins (for rows as :func:`decode` gives them, the closing line feed is a slice of its own).
 
@@ -57,18 +106,12 @@ def split(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     begin[after] = True
     glue = np.flatnonzero(after & (cps == 32))
     begin[glue + 1] = False
-    # Contractions begin at an apostrophe that begins a slice.
-    at = np.flatnonzero((cps == 39) & begin)
-    if len(at):
-        def peek(k):
-            return cps[np.minimum(at + k, n - 1)]
-
-        one, two = peek(1), peek(2)
-        single = np.isin(one, [ord(c) for c in "stmd"])
-        double = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-        begin[at[single | double] + 1] = False
-        begin[at[single] + 2] = True
-        begin[at[double & ~single] + 3] = True
+    # A contraction is one slice; what follows its last letter begins another.
+    end = np.flatnonzero(states(steps()[0][cps]) == ENDED)
+    if len(end):
+        long = cps[end - 1] != 39
+        begin[end - long.astype(np.int64)] = False
+        begin[end + 1] = True
     return np.flatnonzero(begin)
 
 
