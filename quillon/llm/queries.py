@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from quillon.llm.spam import spam_scores
 from quillon.llm.tales import one_row_per_tale
 from quillon.llm.term_counts import term_counts
 from quillon.llm.tokens import token_ids
+from quillon.plans.shipping import ship
 from quillon.sources.tables import table
 
 #: Where the vocabulary files are; a parameter of the operators.
@@ -91,8 +93,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_scores(table(spark, d, "documents")).where("spam").select("doc_id")
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this package sent to the executors first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship(spark)
+        return query(spark, d)
+
+    return run
+
+
+QUERIES = (
+    p1_found, p1_groups, p2_found, p3_found, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores)}
+    return {f.__name__: _shipped(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
