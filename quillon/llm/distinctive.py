@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.codepoints import Words, chunks
+from quillon.llm.codepoints import Words, chunks, mix
 from quillon.llm.term_counts import SHARE, find_heavy, texts_of
 from quillon.plans.checkpoints import checkpointed
 
@@ -85,15 +85,6 @@ def _bins(logp: np.ndarray) -> np.ndarray:
     return np.minimum((-logp * PER_UNIT).astype(np.int64), BINS - 1)
 
 
-def _pairs(words: Words, heavy) -> tuple[np.ndarray, ...]:
-    """Heavy pairs as (row, slot, tf), and the numbers of the other words."""
-    slot = heavy.slots(words.hash)
-    own = slot >= 0
-    width = max(1, len(heavy.hashes))
-    pairs, tf = np.unique(words.row[own] * width + slot[own], return_counts=True)
-    return pairs // width, pairs % width, tf, np.flatnonzero(~own)
-
-
 def _count(batches, heavy):
     names = ["slot", "term", "tale_id", "tf", "n"]
     cf, df = np.zeros(len(heavy.hashes), np.int64), np.zeros(len(heavy.hashes), np.int64)
@@ -101,16 +92,13 @@ def _count(batches, heavy):
         text = texts_of(batch, list(range(1, batch.num_columns)))
         for a, b in chunks(text):
             words = Words(text.slice(a, b - a))
-            row, slot, tf, rest = _pairs(words, heavy)
+            row, slot, tf, rest = heavy.pairs(words)
             cf += np.bincount(slot, tf, minlength=len(cf)).astype(np.int64)
             df += np.bincount(slot, minlength=len(df))
             if len(rest):
-                key = np.stack([words.row[rest].astype(np.uint64), words.hash[rest]], axis=1)
-                order = np.lexsort((key[:, 1], key[:, 0]))
-                new = np.append(True, (key[order][1:] != key[order][:-1]).any(1))
-                begin = np.flatnonzero(new)
-                which = rest[order[begin]]
-                count = np.diff(np.append(begin, len(order)))
+                salted = words.hash[rest] ^ mix(words.row[rest].astype(np.uint64))
+                _, first, count = np.unique(salted, return_index=True, return_counts=True)
+                which = rest[first]
                 ids = batch.column(0).slice(a, b - a).take(pa.array(words.row[which]))
                 size = words.counts()[words.row[which]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), -1)), words.strings(which).cast(pa.string()), ids, pa.array(count.astype(np.int64)), pa.array(size.astype(np.int64))], names)
@@ -127,9 +115,11 @@ def _score_heavy(batches, heavy, cf, df, total, min_tf, max_texts, top):
         text = texts_of(batch, list(range(1, batch.num_columns)))
         for a, b in chunks(text):
             words = Words(text.slice(a, b - a))
-            row, slot, tf, _ = _pairs(words, heavy)
+            row, slot, tf, _ = heavy.pairs(words)
             n = words.counts()[row]
-            logp = log_upper_tail(tf, n, cf[slot], total)
+            same = np.unique((slot << 40) | (np.minimum(tf, (1 << 20) - 1) << 20) | np.minimum(n, (1 << 20) - 1), return_index=True, return_inverse=True) if n.max(initial=0) < 1 << 20 else (0, np.arange(len(n)), np.arange(len(n)))
+            one = same[1]
+            logp = log_upper_tail(tf[one], n[one], cf[slot[one]], total)[same[2]]
             which, count = np.unique(_bins(logp), return_counts=True)
             for x, y in zip(which.tolist(), count.tolist()):
                 bins[x] = bins.get(x, 0) + y

@@ -11,6 +11,7 @@ shuffled, already counted by batch.  Both tables are united.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from quillon.plans.checkpoints import checkpointed
 SHARE = 1e-4
 
 
-@dataclass(frozen=True)
+@dataclass
 class Heavy:
     """The heavy words (sorted by hash) and totals over all texts."""
 
@@ -37,8 +38,32 @@ class Heavy:
         """Number of each heavy word, -1 for others."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == hashes, i, -1)
+        table, shared = self._table
+        place = (hashes & np.uint64(len(table) - 1)).astype(np.int64)
+        slot = table[place]
+        slot = np.where(self.hashes[slot] == hashes, slot, -1)
+        again = np.flatnonzero((slot < 0) & shared[place])  # places of several heavy words
+        if len(again):
+            i = np.minimum(np.searchsorted(self.hashes, hashes[again]), len(self.hashes) - 1)
+            slot[again] = np.where(self.hashes[i] == hashes[again], i, -1)
+        return slot
+
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """A heavy word for each value of the hashes' low bits, and whether several have it."""
+        size = 1 << max(10, int(16 * len(self.hashes)).bit_length())
+        place = (self.hashes & np.uint64(size - 1)).astype(np.int64)
+        table = np.zeros(size, np.int64)
+        table[place] = np.arange(len(self.hashes))
+        return table, np.bincount(place, minlength=size) > 1
+
+    def pairs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, slot and count of each heavy word of each row, and the numbers of the other words."""
+        slot = self.slots(words.hash)
+        own = slot >= 0
+        width = max(1, len(self.hashes))
+        pairs, count = np.unique(words.row[own] * width + slot[own], return_counts=True)
+        return pairs // width, pairs % width, count, np.flatnonzero(~own)
 
 
 def texts_of(batch: pa.RecordBatch, columns: list[int]) -> pa.Array:
@@ -49,13 +74,6 @@ def texts_of(batch: pa.RecordBatch, columns: list[int]) -> pa.Array:
     return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar("\n", pa.large_string()))
 
 
-def distinct_counts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: the number of a word of each kind, its hash and occurrences; then by (row, kind) the pairs' keys and counts."""
-    kinds, first, inverse, counts = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
-    pairs, per_pair = np.unique(words.row * max(1, len(kinds)) + inverse, return_counts=True)
-    return first, kinds, counts, pairs, per_pair
-
-
 def find_heavy(texts: DataFrame, columns: list[str], share: float = SHARE) -> Heavy:
     """The heavy words of the text columns; one pass over all texts, one small result to the driver."""
     schema = "term string, n bigint, full bigint, texts bigint"
@@ -108,14 +126,13 @@ def count_rows(texts: DataFrame, columns: list[str], heavy: Heavy) -> DataFrame:
                 words = Words(text.slice(a, b - a))
                 if not len(words.hash):
                     continue
-                first, kinds, counts, pairs, _ = distinct_counts(words)
-                in_texts = np.bincount(pairs % len(kinds), minlength=len(kinds))
-                slot = heavy.slots(kinds)
-                own = slot >= 0
-                occ[slot[own]] += counts[own]
-                docs[slot[own]] += in_texts[own]
-                rest = np.flatnonzero(~own)
-                light.append((kinds[rest], counts[rest], in_texts[rest], words.strings(first[rest]).cast(pa.string())))
+                _, slot, tf, rest = heavy.pairs(words)
+                occ += np.bincount(slot, tf, minlength=len(occ)).astype(np.int64)
+                docs += np.bincount(slot, minlength=len(docs))
+                kinds, first, inverse, counts = np.unique(words.hash[rest], return_index=True, return_inverse=True, return_counts=True)
+                width = max(1, len(kinds))
+                in_texts = np.bincount(np.unique(words.row[rest] * width + inverse) % width, minlength=len(kinds))
+                light.append((kinds, counts, in_texts, words.strings(rest[first]).cast(pa.string())))
             if light:
                 kinds, first, inverse = np.unique(np.concatenate([x[0] for x in light]), return_index=True, return_inverse=True)
                 sums = [np.bincount(inverse, np.concatenate([x[k] for x in light]), minlength=len(kinds)).astype(np.int64) for k in (1, 2)]
