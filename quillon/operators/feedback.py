@@ -12,6 +12,7 @@ from quillon.functions.text import query_tokens
 from quillon.functions.weights import plain
 from quillon.operators.index import Index
 from quillon.operators.vsm import query_vector, vector_frame, vsm_search
+from quillon.plans.checkpoints import plain_unions
 
 ALPHA, BETA, GAMMA = 1.0, 0.75, 0.15
 
@@ -25,6 +26,7 @@ def centroid(index: Index, ids: list[str]) -> DataFrame:
 
 def modified_query(index: Index, vector: dict[str, float], relevant: list[str], non_relevant: list[str], alpha: float, beta: float, gamma: float) -> DataFrame:
     """(term, q): max(0, alpha q + beta centroid(relevant) - gamma centroid(non-relevant)), positive weights only."""
+    plain_unions(index.registry.sparkSession)
     parts = vector_frame(index, vector).select("term", (F.col("q") * F.lit(alpha)).alias("w"))
     for ids, factor in ((relevant, beta), (non_relevant, -gamma)):
         if ids:

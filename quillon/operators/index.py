@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,36 +19,37 @@ LEXICON_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Index:
-    """registry: a row for each document; postings: one for each term and document, with the term's df; stats of the collection."""
+    """registry: a row for each document; postings: one for each term and document, with the term's df; term_stats (term, df, cf); stats of the collection."""
 
     registry: DataFrame
     postings: DataFrame
+    term_stats: DataFrame
     n_docs: int
     n_with_tokens: int
     total_tokens: int
     fingerprint: str | None = None
+    _norms: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def avgdl(self) -> float:
         """Mean length of the documents that have a token."""
         return self.total_tokens / self.n_with_tokens if self.n_with_tokens else 1.0
 
-    @cached_property
-    def term_stats(self) -> DataFrame:
-        """(term, df, cf)."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
     def of_terms(self, terms: list[str]) -> DataFrame:
         """Postings of some terms; the filter reaches the scan, whose files are ranges of terms."""
         return self.postings.where(F.col("term").isin(terms)) if terms else self.postings.limit(0)
 
     def document_frequencies(self, terms: list[str]) -> dict[str, int]:
         """df of the terms that occur; at most one row for each of them comes to the driver."""
-        rows = self.of_terms(terms).groupBy("term").agg(F.first("df").alias("df")).collect()
-        return {r.term: r.df for r in rows}
+        return {r.term: r.df for r in self.term_stats.where(F.col("term").isin(terms)).collect()} if terms else {}
 
     def norms(self, title: float | None = None, body: float | None = None) -> DataFrame:
-        """(doc_id, norm) over all terms of each document: plain weights, or zoned ones. Documents with norm 0 are left out."""
+        """(doc_id, norm) over all terms of each document: plain weights, or zoned ones; kept for each pair of weights. Documents with norm 0 are left out."""
+        if (title, body) not in self._norms:
+            self._norms[title, body] = checkpointed(self._new_norms(title, body))
+        return self._norms[title, body]
+
+    def _new_norms(self, title: float | None, body: float | None) -> DataFrame:
         weight = plain(self.n_docs) if title is None else zoned(self.n_docs, title, body)
         sums = self.postings.groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
         return sums.where("norm > 0")
@@ -87,20 +87,21 @@ def build_index(corpus: DataFrame, lexicon: DataFrame | None = None) -> Index:
         occurrences(corpus, lexicon).groupBy("term", "doc_id", "doc_seq")
         .agg(tf.alias("tf"), title_tf.alias("tf_title"), F.sort_array(F.collect_list("pos")).alias("positions"))
     )
-    df = pairs.groupBy("term").agg(F.count("*").cast("int").alias("df"))
-    postings = pairs.join(df, "term").select(
+    stats = checkpointed(pairs.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartitionByRange("term").sortWithinPartitions("term"))
+    postings = pairs.join(stats.select("term", F.col("df").cast("int").alias("df")), "term").select(
         "term", "doc_id", "doc_seq", "tf", "tf_title", (F.col("tf") - F.col("tf_title")).alias("tf_body"), "df", "positions",
         F.slice("positions", F.lit(1), F.col("tf_title")).alias("title_positions"), F.slice("positions", F.col("tf_title") + 1, F.col("tf")).alias("body_positions"),
     )
     postings = checkpointed(postings.repartitionByRange("term", "doc_seq").sortWithinPartitions("term", "doc_seq"))
     sums = registry.agg(F.count("*").alias("n"), F.count(F.when(F.col("token_count") > 0, 1)).alias("full"), F.sum("token_count").alias("tokens")).first()
-    return Index(registry, postings, sums.n, sums.full, int(sums.tokens or 0), fingerprint(corpus))
+    return Index(registry, postings, stats, sums.n, sums.full, int(sums.tokens or 0), fingerprint(corpus))
 
 
 def save(index: Index, path: str) -> None:
     """The index as Parquet tables under ``path``; the row of statistics is written last, and marks it whole."""
     index.registry.write.mode("overwrite").parquet(f"{path}/registry")
     index.postings.repartitionByRange("term", "doc_seq").sortWithinPartitions("term", "doc_seq").write.mode("overwrite").parquet(f"{path}/postings")
+    index.term_stats.write.mode("overwrite").parquet(f"{path}/terms")
     row = [(index.n_docs, index.n_with_tokens, index.total_tokens, index.fingerprint)]
     index.registry.sparkSession.createDataFrame(row, "n_docs bigint, n_with_tokens bigint, total_tokens bigint, fingerprint string").write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -112,7 +113,7 @@ def load(spark: SparkSession, path: str, corpus: DataFrame | None = None) -> Ind
     row = spark.read.parquet(f"{path}/stats").first()
     if corpus is not None and is_stale(row.fingerprint, fingerprint(corpus)):
         return None
-    return Index(spark.read.parquet(f"{path}/registry"), spark.read.parquet(f"{path}/postings"), row.n_docs, row.n_with_tokens, row.total_tokens, row.fingerprint)
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("registry", "postings", "terms")), row.n_docs, row.n_with_tokens, row.total_tokens, row.fingerprint)
 
 
 def open_or_build(spark: SparkSession, path: str, corpus: DataFrame, lexicon: DataFrame | None = None) -> Index:
@@ -161,5 +162,5 @@ def status(index: Index) -> DataFrame:
         F.count("*").alias("documents"), F.sum("token_count").alias("tokens"), F.countDistinct("tale_type").alias("tale_types"),
         F.countDistinct("tradition").alias("traditions"), F.countDistinct("region").alias("regions"),
     )
-    terms = index.postings.agg(F.countDistinct("term").alias("terms"), F.count("*").alias("postings"))
+    terms = index.term_stats.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
     return sizes.withColumn("k", F.lit(1)).join(terms.withColumn("k", F.lit(1)), "k").drop("k")

@@ -26,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Keeps the planner from treating a union as partitioned like its parts.
+
+    In Spark 4.1 that can zip parts with unequal numbers of partitions, which fails when a union is aggregated or joined.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and read back from a table written to the shared folder.
 
@@ -33,6 +41,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     files go when the application ends.
     """
     spark = df.sparkSession
+    plain_unions(spark)
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

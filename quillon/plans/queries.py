@@ -80,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_summary": lambda s, d: evaluation.macro_average(evaluation.evaluate(index(s, d), table(s, d, "qrels"))),
     "eval_pivot": lambda s, d: evaluation.pivoted(evaluation.rounded(evaluation.evaluate(index(s, d), table(s, d, "qrels")))),
     "eval_best_mode": lambda s, d: evaluation.best_mode(evaluation.macro_average(evaluation.evaluate(index(s, d), table(s, d, "qrels")))).select("mode", "map"),
-    "phantom_qrels": lambda s, d: evaluation.phantoms(evaluation.judgments(table(s, d, "qrels")), index(s, d)),
+    "phantom_qrels": lambda s, d: evaluation.phantoms(evaluation.current(table(s, d, "qrels")), index(s, d)),
+    "qrels_current": lambda s, d: evaluation.current(table(s, d, "qrels")).select("query_id", "query_text", F.size("judgments").alias("judgments")),
+    "judgments": lambda s, d: evaluation.judgments(evaluation.current(table(s, d, "qrels"))).select("query_id", "doc_id", "grade", F.col("relevant").cast("int").alias("relevant")),
     "divergence_matrix": lambda s, d: divergence.rounded(divergence.pair_scores(index(s, d), TYPE)).select("doc_a", "doc_b", "cosine", "jaccard", "overlap"),
     "divergence_summary": lambda s, d: divergence.summary(divergence.pair_scores(index(s, d), TYPE)),
     "divergence_heat": lambda s, d: divergence.symmetric(divergence.rounded(divergence.pair_scores(index(s, d), TYPE))).groupBy("doc_a", "heat").agg(F.count("*").alias("pairs")),
@@ -204,10 +206,15 @@ def _rerank(relevant: str, gamma: str | None) -> tuple[str, ...]:
     )
 
 
+_CURRENT = "cq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST) AS k FROM qrels) WHERE k = 1)"
+_ROWS = "jr AS (SELECT query_id, place, j.tale_id AS doc_id, j.relevance_score AS grade FROM (SELECT query_id, unnest(judgments) AS j, unnest(range(len(judgments))) AS place FROM cq) WHERE j.relevance_score BETWEEN 0 AND 3 AND j.tale_id IS NOT NULL)"
+_GRADES = "jd AS (SELECT query_id, doc_id, arg_max(grade, place) AS grade, bool_or(grade >= 1) AS rel FROM jr GROUP BY ALL)"
 _EVAL = (
-    "qs AS (SELECT DISTINCT query_id FROM qrels)",
-    f"ql AS (SELECT query_id, arg_max(query_text, created_at) AS query_text FROM (SELECT * FROM qrels ORDER BY created_at, query_text) GROUP BY query_id), qe AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms('query_text')}) AS term FROM ql) GROUP BY ALL)",
-    "jd AS (SELECT query_id, j.tale_id AS doc_id, max(j.relevance_score) AS grade FROM (SELECT query_id, unnest(judgments) AS j FROM qrels) WHERE j.relevance_score BETWEEN 0 AND 3 AND j.tale_id IS NOT NULL GROUP BY ALL)",
+    _CURRENT,
+    "qs AS (SELECT DISTINCT query_id FROM cq)",
+    f"qe AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms('query_text')}) AS term FROM cq) GROUP BY ALL)",
+    _ROWS,
+    _GRADES,
     "jk AS (SELECT jd.* FROM jd JOIN reg USING (doc_id))",
     _PLAIN,
     "zn AS (SELECT doc_id, sqrt(sum(power((2 * s_title + s_body) * idf, 2))) AS norm FROM post GROUP BY doc_id)",
@@ -223,11 +230,11 @@ _EVAL = (
     "rq AS (SELECT query_id, doc_id, round(sum(q * st * idf) / (any_value(qn) * any_value(norm)), 6) AS score FROM post JOIN qm USING (term) JOIN nm USING (query_id) JOIN pn USING (doc_id) GROUP BY ALL)",
     """runs AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, doc_id) AS rank FROM (
         SELECT 'vsm' AS mode, query_id, doc_id, score FROM v UNION ALL SELECT 'bm25', * FROM bq UNION ALL SELECT 'boolean', * FROM ba UNION ALL SELECT 'vsm_rocchio', * FROM rq))""",
-    "gr AS (SELECT r.*, grade, CASE WHEN grade >= 1 THEN 1 ELSE 0 END AS hit FROM runs r LEFT JOIN jk USING (query_id, doc_id) WHERE rank <= 20 OR mode = 'boolean')",
+    "gr AS (SELECT r.*, grade, CASE WHEN rel THEN 1 ELSE 0 END AS hit FROM runs r LEFT JOIN jk USING (query_id, doc_id) WHERE rank <= 20 OR mode = 'boolean')",
     "gh AS (SELECT *, sum(hit) OVER (PARTITION BY mode, query_id ORDER BY rank) AS hits FROM gr)",
     """sm AS (SELECT mode, query_id, count(*) AS found, sum(hit) AS hit, sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) AS ap, sum(CASE WHEN rank <= 10 AND grade IS NOT NULL THEN (power(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg,
         sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS h5, sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) AS h10 FROM gh GROUP BY mode, query_id)""",
-    """idl AS (SELECT query_id, sum(CASE WHEN k <= 10 THEN (power(2, grade) - 1) / log2(k + 1) ELSE 0 END) AS ideal, count(*) FILTER (grade >= 1) AS relevant
+    """idl AS (SELECT query_id, sum(CASE WHEN k <= 10 THEN (power(2, grade) - 1) / log2(k + 1) ELSE 0 END) AS ideal, count(*) FILTER (rel) AS relevant
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS k FROM jk) GROUP BY query_id)""",
     """pq AS (SELECT mode, query_id, coalesce(found, 0) AS found, coalesce(hit, 0) AS hit, coalesce(ap, 0) AS ap, coalesce(dcg, 0) AS dcg, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(ideal, 0) AS ideal, coalesce(relevant, 0) AS relevant,
         CASE WHEN found > 0 THEN hit / found ELSE 0 END AS pr, CASE WHEN relevant > 0 AND hit > 0 THEN hit / relevant ELSE 0 END AS rc
@@ -301,7 +308,9 @@ ORACLES: dict[str, str] = {
     "eval_summary": _q("SELECT * FROM su", *_EVAL, _SUMMARY),
     "eval_pivot": _q("SELECT query_id, " + ", ".join(f"max({m}) FILTER (mode = '{mode}') AS {mode}_{m}" for mode in evaluation.MODES for m in ("ap", "ndcg")) + " FROM ev GROUP BY query_id", *_EVAL),
     "eval_best_mode": _q("SELECT mode, map FROM su ORDER BY map DESC, mode LIMIT 1", *_EVAL, _SUMMARY),
-    "phantom_qrels": _q("SELECT query_id, count(*) AS dropped FROM jd WHERE doc_id NOT IN (SELECT doc_id FROM reg) GROUP BY query_id", _EVAL[2]),
+    "phantom_qrels": _q("SELECT query_id, count(*) AS dropped FROM jr WHERE doc_id NOT IN (SELECT doc_id FROM reg) GROUP BY query_id", _CURRENT, _ROWS),
+    "qrels_current": _q("SELECT query_id, query_text, len(judgments)::INT AS judgments FROM cq", _CURRENT),
+    "judgments": _q("SELECT query_id, doc_id, grade, rel::INT AS relevant FROM jd", _CURRENT, _ROWS, _GRADES),
     "divergence_matrix": _q("SELECT doc_a, doc_b, round(cosine, 4) AS cosine, round(jaccard, 4) AS jaccard, round(100 * jaccard, 2) AS overlap FROM dp", *_DIV),
     "divergence_summary": _q("SELECT count(*) AS pairs, round(avg(cosine), 4) AS mean, round(min(cosine), 4) AS least, round(max(cosine), 4) AS greatest, first(doc_a ORDER BY round(cosine, 4) DESC, seq_a, seq_b) AS similar_a, first(doc_b ORDER BY round(cosine, 4) DESC, seq_a, seq_b) AS similar_b, first(doc_a ORDER BY round(cosine, 4), seq_a, seq_b) AS divergent_a, first(doc_b ORDER BY round(cosine, 4), seq_a, seq_b) AS divergent_b FROM dp", *_DIV),
     "divergence_heat": _q("SELECT doc_a, heat, count(*) AS pairs FROM (SELECT doc_a, CASE WHEN round(cosine, 4) > 0.5 THEN 'high' WHEN round(cosine, 4) > 0.25 THEN 'mid' ELSE 'low' END AS heat FROM (SELECT doc_a, cosine FROM dp UNION ALL SELECT doc_b, cosine FROM dp)) GROUP BY ALL", *_DIV),

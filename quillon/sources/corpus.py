@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.checkpoints import plain_unions
+
 FIELDS = ("tale_id", "tale_type", "title", "region", "tradition", "source_collection", "translator", "collection_era", "raw_text")
 SCHEMA = ", ".join(f"{c} STRING" for c in FIELDS)
 REQUIRED = ("tale_id", "title", "raw_text")
@@ -66,6 +68,7 @@ def latest(rows: DataFrame, key: str = "tale_id", *order: str) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "tale_id") -> DataFrame:
     """Rows of ``new`` in place of those of ``old`` with the same key."""
+    plain_unions(old.sparkSession)
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 

@@ -1,7 +1,7 @@
 import pytest
 from conftest import corpus
 
-from quillon.operators.evaluation import best_mode, evaluate, judgments, macro_average, metrics, phantoms, pivoted, read_qrels, retrieve, rounded
+from quillon.operators.evaluation import best_mode, current, evaluate, judgments, macro_average, metrics, phantoms, pivoted, read_qrels, retrieve, rounded
 from quillon.operators.index import build_index
 from quillon.operators.language import batch_entities, parse_question, strip_fillers
 from quillon.operators.spelling import correct_terms, corrections
@@ -93,7 +93,10 @@ def test_evaluation(spark, tmp_path):
     path.write_text('{"qrels": [{"query_id": "1", "query_text": "jackal tiger", "judgments": [{"tale_id": "B", "relevance_score": 3}, {"tale_id": "Z", "relevance_score": 2}]}, {"query_id": "2", "query_text": "lion", "judgments": [{"tale_id": "Z", "relevance_score": 1}]}]}')
     qrels = read_qrels(spark, str(path))
     assert qrels.count() == 2
-    assert sorted(map(tuple, phantoms(judgments(qrels), index).collect())) == [("1", 1), ("2", 1)]
+    assert sorted(map(tuple, phantoms(qrels, index).collect())) == [("1", 1), ("2", 1)]
+    twice = spark.sql("SELECT '1' AS query_id, 'x' AS query_text, array(named_struct('tale_id', 'B', 'relevance_score', 2, 'notes', ''), named_struct('tale_id', 'B', 'relevance_score', 0, 'notes', '')) AS judgments, 2 AS created_at UNION ALL SELECT '1', 'y', array(), 1")
+    assert [r.query_text for r in current(twice).collect()] == ["x"]
+    assert [(r.grade, r.relevant) for r in judgments(current(twice)).collect()] == [(0, True)]
     per_query = evaluate(index, qrels)
     rows = {(r.mode, r.query_id): r for r in per_query.collect()}
     assert len(rows) == 8 and all(rows[m, "1"].ap == 1 for m in ("boolean", "vsm", "bm25", "vsm_rocchio")) and rows["bm25", "2"].ap == 0
