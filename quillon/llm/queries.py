@@ -86,7 +86,7 @@ def p8_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return spam_scores(table(spark, d, "documents")).select("doc_id", "language", "share", "distance", "leaning", "candidate", "spam")
+    return spam_scores(table(spark, d, "documents")).select("doc_id", "language", "listed", "distance", "leaning", "spam")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

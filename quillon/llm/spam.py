@@ -1,17 +1,20 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-One pass over the texts gives each document a few features (density of list marks and links, entropy and
-repetition of its words, share of function words, length of its sentences).  Within each language
-(told from the text, as the stored code is often wrong) a robust centre and scatter are fitted to all
-documents by concentration steps, starting from medians and median deviations; all of these are
-aggregations over the small feature table.  Documents whose squared Mahalanobis distance is beyond a
-chi-squared bound, in a direction that points to spam, are candidates.  Of those an exact check
-keeps the ones in which more than half of the characters belong to segments of keywords, links or
-tags; that share is counted in the same pass.
+One pass over the texts gives each document six features: three densities (characters in list-like segments,
+list marks, characters in links), repetition and entropy of its words, and the share of function words.
+Within each language (told from the text, as the stored code is often wrong) a robust centre and scatter are
+fitted to all documents by concentration steps, starting from medians and median deviations; all of
+these are aggregations over the small feature table.
+
+A document is spam if it is an outlier in the direction of spam: its squared Mahalanobis distance from the
+prose of its language is beyond a chi-squared bound, and the part of it that points to a page of nothing but
+heaps (all characters in lists, no function words) takes it more than half the way there.  The densities
+of a page that is partly prose mix in proportion, so that half the way is half of the text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,24 +36,32 @@ FUNCTION_WORDS = {
     "est était sont a ont avait fut être avoir si comme quand y m c n s qu entre vers chez très",
     "hi": "ने को का की के में से पर और फिर तब मगर एक उस इस वह यह वे ये था थी थे है हैं हो कि जो तो भी ही नहीं तक लिए साथ कर गया आया दिया लिया कहा पूछा देखा",
 }
-FEATURES = ("marks", "links", "repetition", "entropy", "function_words", "sentence")
-#: Direction of spam in each feature, in units of its own spread.
-DIRECTION = (1.0, 1.0, 1.0, -0.5, -1.0, 0.5)
-#: Candidates lie beyond this value of chi-squared with six degrees of freedom (its median: the exact check follows).
-BOUND = 5.35
+FEATURES = ("listed", "marks", "links", "repetition", "entropy", "function_words")
+#: What a page of nothing but heaps has of the features that are shares of the text; the others are not known beforehand.
+HEAP = {"listed": 1.0, "function_words": 0.0}
+#: Chi-squared with six degrees of freedom exceeds this with probability 0.001.
+BOUND = 22.46
+#: Share of the way from prose to a heap beyond which a page is spam.
+HALF = 0.5
+#: Spread that is added to that of each feature: shares of a text of some thirty words are no finer.
+LEAST_SPREAD = 0.03
 STEPS = 3
+#: Bins of the distance, by its logarithm, in which a concentration step adds up moments.
+DISTANCE_BINS = 400
+LANGUAGES = ("en", "fr", "hi", "other")
 LIST_MARKS = tuple(map(ord, ",;|/#<>[]()*_=:•·"))
 ENDS = tuple(map(ord, ".!?।…"))
 BREAKS = (10, 13, 0x85, 0x2028, 0x2029)
 
 
 # Bits of the table that the signs are looked up in.
-BLANK, BREAK, END, SOFT, MARK, COMMA, WESTERN, DEVANAGARI = 1, 2, 4, 8, 16, 32, 64, 128
+BLANK, BREAK, END, SOFT, MARK, COMMA, WESTERN, DEVANAGARI, ALPHABETIC = (1 << i for i in range(9))
 
 
 @lru_cache(None)
 def signs() -> np.ndarray:
-    out = np.zeros(TOP, np.uint8)
+    out = np.zeros(TOP, np.uint16)
+    out[(classes() & LETTER) > 0] |= ALPHABETIC
     out[(classes() & LATIN) > 0] |= WESTERN
     out[(classes() & (DEVA | LETTER)) == DEVA | LETTER] |= DEVANAGARI
     for bit, cps in ((BLANK | SOFT, (32, 9, *BREAKS)), (BREAK, BREAKS), (END, ENDS), (SOFT, map(ord, "\"'”’»)]")), (MARK, LIST_MARKS), (COMMA, map(ord, ",;|/"))):
@@ -79,8 +90,8 @@ def _within(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return sorted_hashes[i] == hashes
 
 
-def _shares(w: Words) -> dict[str, np.ndarray]:
-    """Features and the spam share of each row of a chunk."""
+def _features(w: Words) -> dict[str, np.ndarray]:
+    """Language, number of words and features of each row of a chunk."""
     lex = _Lexicon.get()
     cps, off, rows = w.cps, w.off, w.rows
     n = len(cps)
@@ -93,7 +104,8 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
     deva = np.bincount(row_of[bits & DEVANAGARI > 0], minlength=rows)
     latin = np.bincount(row_of[bits & WESTERN > 0], minlength=rows)
     n_en, n_fr = (np.bincount(w.row[x], minlength=rows) for x in (en, fr))
-    language = np.where(deva > latin, 2, np.where(n_fr > n_en, 1, 0))
+    letters = np.bincount(row_of[bits & ALPHABETIC > 0], minlength=rows)
+    language = np.where(2 * (deva + latin) < letters, 3, np.where(deva > latin, 2, np.where(n_fr > n_en, 1, 0)))
     # Segments: cut at line breaks and behind sentence ends that white space or a closing mark follows.
     end = bits & END > 0
     soft = bits & SOFT > 0
@@ -136,16 +148,17 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
     seg_ended = np.bincount(seg[end], minlength=segs) > 0
     seg_latin = np.bincount(seg[bits & WESTERN > 0], minlength=segs)
     seg_deva = np.bincount(seg[bits & DEVANAGARI > 0], minlength=segs)
+    seg_letters = np.bincount(seg[bits & ALPHABETIC > 0], minlength=segs)
     with np.errstate(divide="ignore", invalid="ignore"):
         function = seg_function / np.maximum(seg_words, 1)
-        hindi = seg_deva > seg_latin
+        unlisted = (seg_deva > seg_latin) | (2 * (seg_deva + seg_latin) < seg_letters)  # scripts whose sentences need no function word of the tables
         lists = (seg_commas >= 3) & (seg_words <= 3.2 * (seg_commas + 1))
-        western = ~hindi & (seg_words >= 2) & ((function < 0.08) | (lists & (function < 0.15)))
-        eastern = hindi & (seg_words >= 3) & (lists | (~seg_ended & ((seg_words > 16) | (seg_latin > 0.1 * seg_deva))))
+        western = ~unlisted & (seg_words >= 2) & ((function < 0.08) | (lists & (function < 0.15)))
+        eastern = unlisted & (seg_words >= 3) & (lists | (~seg_ended & ((seg_words > 16) | (seg_latin > 0.1 * (seg_letters - seg_latin)))))
         linked = (seg_links > 0) & (function < 0.2) | (seg_links > 0.3 * seg_runs)
         tagged = (seg_tags >= 3) & (seg_tags > 0.4 * seg_runs)
-    spam = western | eastern | linked | tagged
-    share = np.bincount(seg_row[spam], seg_chars[spam], minlength=rows) / np.maximum(chars, 1)
+    heap = western | eastern | linked | tagged
+    listed = np.bincount(seg_row[heap], seg_chars[heap], minlength=rows) / np.maximum(chars, 1)
     marks = np.bincount(row_of[bits & MARK > 0], minlength=rows)
     salt = mix(np.arange(rows).astype(np.uint64))
     _, first, count = np.unique(w.hash ^ salt[w.row], return_index=True, return_counts=True)
@@ -155,95 +168,112 @@ def _shares(w: Words) -> dict[str, np.ndarray]:
     all_two = np.bincount(w.row[first], minlength=rows)
     distinct_two = w.row[first[np.unique(two ^ salt[w.row[first]], return_index=True)[1]]]
     repetition = 1 - np.bincount(distinct_two, minlength=rows) / np.maximum(all_two, 1)
-    used = seg_words > 0
     return {
-        "language": language, "words": words, "share": share,
+        "language": language, "words": words, "listed": listed,
         "marks": marks / np.maximum(chars, 1), "links": link_chars / np.maximum(chars, 1), "repetition": np.where(all_two > 0, repetition, 0.0),
         "entropy": entropy / np.log(np.maximum(words, 2)), "function_words": np.bincount(seg_row, seg_function, minlength=rows) / np.maximum(words, 1),
-        "sentence": np.log1p(words / np.maximum(np.bincount(seg_row[used], minlength=rows), 1)),
     }
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, language, words, share, features...) of every row; texts without a word have zero everywhere."""
-    names = [key, "language", "words", "share", *FEATURES]
+    """(key, language, words, features...) of every row; texts without a word have zero everywhere."""
+    names = [key, "language", "words", *FEATURES]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for a, b in chunks(batch.column(1)):
-                got = _shares(Words(batch.column(1).slice(a, b - a)))
-                own = [pa.array(np.array(["en", "fr", "hi"], object)[got["language"]], pa.string()), pa.array(got["words"], pa.int64())]
-                own += [pa.array(np.nan_to_num(got[c].astype(float))) for c in names[3:]]
+                got = _features(Words(batch.column(1).slice(a, b - a)))
+                own = [pa.array(np.array(LANGUAGES, object)[got["language"]], pa.string()), pa.array(got["words"], pa.int64())]
+                own += [pa.array(np.nan_to_num(got[c].astype(float))) for c in FEATURES]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *own], names)
 
-    doubles = ", ".join(f"{c} double" for c in names[3:])
+    doubles = ", ".join(f"{c} double" for c in FEATURES)
     return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"`{key}` {kind}, language string, words bigint, {doubles}")
 
 
-def _fit(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Robust centre and inverse scatter of the features of each language; every step aggregates over all rows."""
+@dataclass(frozen=True)
+class Prose:
+    """Robust centre and inverse scatter of the features of one language."""
+
+    centre: np.ndarray
+    inverse: np.ndarray
+
+    def to_heap(self) -> np.ndarray:
+        """From the centre to a page of nothing but heaps."""
+        return np.array([HEAP[c] - self.centre[i] if c in HEAP else 0.0 for i, c in enumerate(FEATURES)])
+
+
+def fit(table: DataFrame) -> dict[str, Prose]:
+    """The prose of each language in a table of features; every step is one aggregation over all rows."""
     rows = table.where("words > 0")
-    mid = rows.groupBy("language").agg(*(F.percentile_approx(c, 0.5, 2000).alias(c) for c in FEATURES)).collect()
-    centre = {r.language: np.array([r[c] for c in FEATURES]) for r in mid}
-    dev = rows.groupBy("language").agg(
-        *(F.percentile_approx(F.abs(F.col(c) - _pick({k: float(v[i]) for k, v in centre.items()})), 0.5, 2000).alias(c) for i, c in enumerate(FEATURES))
-    )
-    inverse = {r.language: np.diag(1 / np.maximum(1.4826 * np.array([r[c] for c in FEATURES]), 0.02) ** 2) for r in dev.collect()}
+    floor = np.diag(np.full(len(FEATURES), LEAST_SPREAD**2))
+    middle = {r.language: np.array([r[c] for c in FEATURES]) for r in rows.groupBy("language").agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in FEATURES)).collect()}
+    away = [F.percentile_approx(F.abs(F.col(c) - _pick({k: v[i] for k, v in middle.items()})), 0.5, 1000).alias(c) for i, c in enumerate(FEATURES)]
+    prose = {r.language: Prose(middle[r.language], np.linalg.inv(np.diag(np.square([1.4826 * r[c] for c in FEATURES])) + floor)) for r in rows.groupBy("language").agg(*away).collect()}
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     for _ in range(STEPS):  # concentration: mean and covariance of the nearer half
-        scored = rows.withColumn("d2", _distance(centre, inverse))
-        half = scored.groupBy("language").agg(F.percentile_approx("d2", 0.5, 2000).alias("h")).collect()
-        near = scored.where(F.col("d2") <= _pick({r.language: float(r.h) for r in half}))
-        cells = [F.avg(c).alias(f"m{i}") for i, c in enumerate(FEATURES)]
-        cells += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j]
-        for r in near.groupBy("language").agg(*cells).collect():
-            cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(len(FEATURES))] for i in range(len(FEATURES))])
-            # The nearer half of a normal sample in six dimensions has about 0.55 of its scatter; a floor keeps a constant feature from ruling.
-            inverse[r.language] = np.linalg.inv(cov / 0.55 + np.diag(np.full(len(FEATURES), 0.02**2)))
-            centre[r.language] = np.array([r[f"m{i}"] for i in range(len(FEATURES))])
-    return {k: (centre[k], inverse[k]) for k in centre}
+        ln = F.log10(F.greatest(_distance(prose), F.lit(1e-6)))
+        bin_ = F.least(F.floor((ln + 6) * (DISTANCE_BINS / 12)), F.lit(DISTANCE_BINS - 1)).alias("bin")
+        sums = [F.sum(z).alias(f"s{i}") for i, z in enumerate(_away(prose))]
+        z = _away(prose)
+        products = [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i, j in pairs]
+        bins: dict[str, list] = {}
+        for r in rows.groupBy("language", bin_).agg(F.count("*").alias("n"), *sums, *products).orderBy("language", "bin").collect():  # at most DISTANCE_BINS rows a language
+            bins.setdefault(r.language, []).append(r)
+        for language, own in bins.items():
+            ends = np.cumsum([r.n for r in own])
+            own = own[: int(np.searchsorted(ends, ends[-1] / 2)) + 1]
+            n = sum(r.n for r in own)
+            mean = np.array([sum(r[f"s{i}"] for r in own) / n for i in range(len(FEATURES))])
+            square = np.zeros((len(FEATURES), len(FEATURES)))
+            for i, j in pairs:
+                square[i, j] = square[j, i] = sum(r[f"p{i}_{j}"] for r in own) / n
+            # The nearer half of a normal sample in six dimensions has about 0.55 of its scatter.
+            prose[language] = Prose(prose[language].centre + mean, np.linalg.inv((square - np.outer(mean, mean)) / 0.55 + floor))
+    return prose
 
 
 def _pick(values: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for k, v in values.items():
-        out = F.when(F.col("language") == k, F.lit(v)).otherwise(out)
+        out = F.when(F.col("language") == k, F.lit(float(v))).otherwise(out)
     return out
 
 
-def _terms(centre: dict[str, np.ndarray]) -> list[Column]:
-    return [F.col(c) - _pick({k: float(v[i]) for k, v in centre.items()}) for i, c in enumerate(FEATURES)]
+def _away(prose: dict[str, Prose]) -> list[Column]:
+    return [F.col(c) - _pick({k: p.centre[i] for k, p in prose.items()}) for i, c in enumerate(FEATURES)]
 
 
-def _distance(centre, inverse) -> Column:
-    z = _terms(centre)
+def _distance(prose: dict[str, Prose]) -> Column:
+    """Squared Mahalanobis distance from the prose of the row's language."""
+    z = _away(prose)
     total = F.lit(0.0)
     for i in range(len(z)):
-        for j in range(len(z)):
-            total = total + z[i] * z[j] * _pick({k: float(m[i, j]) for k, m in inverse.items()})
+        for j in range(i, len(z)):
+            total = total + z[i] * z[j] * _pick({k: p.inverse[i, j] * (1 if i == j else 2) for k, p in prose.items()})
     return total
 
 
-def _leaning(centre, inverse) -> Column:
-    """How far a document lies from the centre in the direction of spam, each feature in units of its spread."""
-    z = _terms(centre)
+def _leaning(prose: dict[str, Prose]) -> Column:
+    """How much of the way from prose to a heap the row is, in the metric of the prose's scatter."""
     total = F.lit(0.0)
-    for i, sign in enumerate(DIRECTION):
-        total = total + F.lit(sign) * z[i] * _pick({k: float(np.sqrt(m[i, i])) for k, m in inverse.items()})
+    weights = {k: p.inverse @ p.to_heap() / (p.to_heap() @ p.inverse @ p.to_heap()) for k, p in prose.items()}
+    for i, z in enumerate(_away(prose)):
+        total = total + z * _pick({k: w[i] for k, w in weights.items()})
     return total
 
 
 def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, language, words, share, features..., distance, leaning, candidate, spam) of every row of ``df``.
+    """(key, language, words, features..., distance, leaning, spam) of every row of ``df``.
 
-    ``spam``: the document is an outlier that leans to spam (``candidate``), and more than half of its
-    characters, spaces aside, are in segments of keywords, links or tags.  Null, empty and blank texts
-    are never spam; repeated rows are judged alike; a language with too few documents for a scatter uses
-    the floor of the spread; an empty table gives no rows.
+    ``spam``: the document is an outlier among the texts of its language (``distance`` beyond ``BOUND``) and
+    more than half the way to a page of nothing but heaps (``leaning`` beyond ``HALF``).  Null, empty and blank
+    texts are never spam; repeated rows are judged alike; a language with few or equal documents has the
+    least spread; texts mostly in other scripts form a language of their own, without function words; an empty
+    table gives no rows.
     """
     table = checkpointed(features(df, key, text))
-    fit = _fit(table)
-    centre, inverse = ({k: v[i] for k, v in fit.items()} for i in (0, 1))
-    scored = table.withColumn("distance", _distance(centre, inverse)).withColumn("leaning", _leaning(centre, inverse))
-    scored = scored.withColumn("candidate", (F.col("words") > 0) & (F.col("distance") > BOUND) & (F.col("leaning") > 0))
-    return scored.withColumn("spam", F.col("candidate") & (F.col("share") > 0.5))
+    prose = fit(table)
+    scored = table.withColumn("distance", _distance(prose)).withColumn("leaning", _leaning(prose))
+    return scored.withColumn("spam", (F.col("words") > 0) & (F.col("distance") > BOUND) & (F.col("leaning") > HALF))

@@ -6,6 +6,9 @@ import random
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillon.llm import spam as spam_pages
 from quillon.llm.queries import VOCABULARY
 from quillon.llm.spam import spam_scores
 from quillon.llm.tokens import Encoder, token_ids, token_texts
@@ -58,7 +61,7 @@ SPAM = [
 REFRAIN = 'This is the {a} that told the {b}. This is the {c} that saw the {a} that told the {b}. "No, no, no," said the {a}. "No, no, no," said the {c}. See https://x.example/{a} for the tale of the {b} and the {c}.'
 
 
-def test_spam_pages(spark):
+def test_spam_pages(spark, monkeypatch):
     rng = random.Random(9)
     words = "lion jackal merchant lamp river forest widow miller king bowl horn wolf".split()
 
@@ -70,7 +73,16 @@ def test_spam_pages(spark):
     rows += [(2000 + i, " ".join(fill(REFRAIN) for _ in range(3)), "EN") for i in range(10)]
     rows += [(3000, None, "en"), (3001, "", "en"), (3002, " \n", "en"), (1000, rows[400][1], "fr"), (None, fill(PROSE[0]), "en")]
     rows += [(4000, fill(PROSE[0]) * 3 + "\n#lion #wolf #horn #king", "en"), (4001, fill(PROSE[0]) + "\n" + fill(SPAM[1]), "en")]
-    df = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id bigint, text string, language string, share double")
-    got = {r.doc_id for r in spam_scores(df).where("spam").collect()}
-    assert got == {*range(1000, 1000 + 3 * len(SPAM)), 4001}
-    assert spam_scores(df).count() == len(rows) and spam_scores(df.limit(0)).count() == 0 and spam_scores(df.where("doc_id >= 3000")).count() == 5
+    rows += [(5000 + i, "Ο γέρος πήγε στο ποτάμι και είδε το λιοντάρι. Ύστερα γύρισε στο σπίτι του." + " Και πάλι." * (i % 3), None) for i in range(12)]
+    df = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id bigint, text string, language string, listed double")
+    scored = {r.doc_id: r for r in spam_scores(df).collect()}
+    spam = {*range(1000, 1000 + 3 * len(SPAM)), 4001}
+    assert {k for k, r in scored.items() if r.spam} == spam
+    assert {scored[i].language for i in range(5000, 5012)} == {"other"}
+    # Refrains lie as far out as spam, in another direction; the bound on the distance and the direction are both needed.
+    assert max(r.distance for k, r in scored.items() if k not in spam) > spam_pages.BOUND
+    for name in ("_distance", "_leaning"):
+        with monkeypatch.context() as m:
+            m.setattr(spam_pages, name, lambda prose: F.lit(0.0))
+            assert not spam_scores(df).where("spam").count()
+    assert spam_scores(df).count() == len(rows) and spam_scores(df.limit(0)).count() == 0 and spam_scores(df.where("doc_id BETWEEN 3000 AND 4999")).count() == 5
