@@ -39,8 +39,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_ids(table(spark, d, "tales"), table(spark, d, "canonical_values"), ["region", "tradition", "source_collection"])
 
 
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "tales"), {"raw_text": 150, "translator": 60})
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).select("field", "tale_id", "start", "stop")
+
+
 def p3_amounts(spark: SparkSession, d: str) -> DataFrame:
-    return shared_amounts(shared_spans(table(spark, d, "tales"), {"raw_text": 150, "translator": 60}))
+    return shared_amounts(_spans(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +113,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = (
-    p1_found, p1_groups, p2_found, p3_found, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores,
+    p1_found, p1_groups, p2_found, p3_found, p3_spans, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores,
 )
 
 

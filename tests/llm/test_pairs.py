@@ -98,34 +98,63 @@ def test_boundary_weighs_costs():
 
 
 def spans_by_hand(texts, least):
+    """Maximal spans of each text that another one has, from the furthest stop of every start."""
     out = {}
     for k, t in texts.items():
-        cover = bytearray(len(t))
+        others = [u for j, u in texts.items() if j[0] != k[0]]
+        stop, spans = 0, set()
         for i in range(len(t) - least + 1):
-            if any(t[i : i + least] in u for j, u in texts.items() if j != k):
-                cover[i : i + least] = b"\1" * least
-        if any(cover):
-            out[k] = sum(cover)
+            e = max(stop, i)
+            while e < len(t) and any(t[i : e + 1] in u for u in others):
+                e += 1
+            if e > stop and e - i >= least:
+                spans.add((i, e))
+            stop = max(stop, e)
+        if spans:
+            out[k] = spans
     return out
 
 
+def amount(spans):
+    return len({i for a, b in spans for i in range(a, b)})
+
+
 @pytest.mark.parametrize("hot", [1000, 1, 0])
 def test_shared_spans_agree_with_brute_force(spark, hot):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choices("abcé \n👧", k=n))
-    passages = [word(n) for n in (19, 20, 21, 45, 60)]
-    texts = {str(i): word(rng.randint(0, 40)) + rng.choice(passages) + word(rng.randint(0, 40)) for i in range(40)}
-    texts |= {"same1": "z" * 50, "same2": "z" * 30, "own": "qrst" * 30, "short": passages[0], "edge": passages[3][:20], "empty": ""}
-    rows = [(k, t, "Credit line, told by many" if i % 3 == 0 else None, "x") for i, (k, t) in enumerate(texts.items())]
+    passages = [word(n) for n in (19, 20, 21, 45, 60, 400)]
+    texts = {(str(i), 0): word(rng.randint(0, 40)) + rng.choice(passages) + word(rng.randint(0, 40)) for i in range(40)}
+    for i in range(30):  # parts of one long passage, and two passages one behind the other
+        c, d = sorted(rng.sample(range(400), 2))
+        texts[f"p{i}", 0] = word(rng.randint(0, 9)) + passages[5][c:d] + word(rng.randint(0, 3)) + passages[5][rng.randint(0, 300) :][:60]
+    texts |= {("same1", 0): "z" * 50, ("same2", 0): "z" * 30, ("own", 0): "qrst" * 30, ("short", 0): passages[0], ("edge", 0): passages[3][:20], ("empty", 0): ""}
+    texts |= {("7", 1): word(5) + passages[4], ("7", 2): passages[5][100:]}  # other texts of a tale
+    rows = [(k, t, "Credit line, told by many" if i % 3 == 0 else None, "x") for i, ((k, _), t) in enumerate(texts.items())]
     rows += [rows[0], ("none", None, None, "x"), (None, passages[4], None, "x")]
     df = spark.createDataFrame(rows, "tale_id string, raw_text string, translator string, size string")
-    got = shared_amounts(shared_spans(df, {"raw_text": 20, "translator": 10}, hot)).collect()
-    assert {r.tale_id: r.shared for r in got if r.field == "raw_text"} == spans_by_hand(texts, 20)
-    assert {r.tale_id: r.shared for r in got if r.field == "translator"} == {k: 25 for i, k in enumerate(texts) if i % 3 == 0}
-    assert all(r.size == len(texts[r.tale_id]) for r in got if r.field == "raw_text")
+    spans = shared_spans(df, {"raw_text": 20, "translator": 10}, hot)
+    found = {}
+    for r in spans.where("field = 'raw_text'").collect():
+        found.setdefault((r.tale_id, r.record), set()).add((r.start, r.stop))
+    expected = spans_by_hand(texts, 20)
+    assert sorted((k, sorted(v)) for (k, _), v in found.items()) == sorted((k, sorted(v)) for (k, _), v in expected.items())
+    got = shared_amounts(spans).collect()
+    assert {r.tale_id: (r.shared, r.spans, r.size) for r in got if r.field == "raw_text"} == {
+        k: tuple(map(sum, zip(*((amount(v), len(v), len(texts[j])) for j, v in expected.items() if j[0] == k)))) for k, _ in expected
+    }
+    assert {r.tale_id: r.shared for r in got if r.field == "translator"} == {k: 25 for i, (k, _) in enumerate(texts) if i % 3 == 0}
     assert shared_spans(df.limit(0), {"raw_text": 20}).count() == 0
 
 
+def test_long_copies_are_one_span(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choices("abcdefgh ", k=9000))
+    df = spark.createDataFrame([("a", "xyz" + long[:2000]), ("b", long[:2000] + "!"), ("c", long[1000:]), ("d", long[1500:])], "tale_id string, raw_text string")
+    got = sorted((r.tale_id, r.start, r.stop) for r in shared_spans(df, {"raw_text": 150}).collect())
+    assert got == [("a", 3, 2003), ("b", 0, 2000), ("c", 0, 1000), ("c", 500, 8000), ("d", 0, 7500)]
+
+
 def test_rows_of_one_tale_share_nothing(spark):
     df = spark.createDataFrame([("a", "x" * 99), ("a", "x" * 99)], "tale_id string, raw_text string")
     assert shared_spans(df, {"raw_text": 20}).count() == 0
