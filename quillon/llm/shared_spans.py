@@ -346,6 +346,9 @@ def _run_rows(batches, least: list[int], low: int, high: int):
             begin, end = at[own[which]] - l[which], at[to] + gram[f[r]]
             key = Hashes(cps).runs(begin, end - begin) ^ np.array([_salt(k) for k in range(len(least))], np.uint64)[f[r]]
             more = (to == own[which] + high - 1) & (to + 1 < first[r + 1])
+            order = np.lexsort((~more, end, begin))  # a start found from several anchors has the same runs
+            one = order[np.append(True, (begin[order][1:] != begin[order][:-1]) | (end[order][1:] != end[order][:-1]))]
+            which, begin, end, key, more, r = (x[one] for x in (which, begin, end, key, more, r))
             take = pa.array(r)
             yield pa.RecordBatch.from_arrays(
                 [_signed(mix(key)), part.column("tale").take(take), part.column("piece").take(take), pa.array(f[r]), pa.array(idx[which].astype(np.int32)), pa.array(l[which].astype(np.int32)), pa.array((begin - off[r]).astype(np.int32)), pa.array((end - off[r]).astype(np.int32)), pa.array(more)],
