@@ -11,10 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.codepoints import Words, chunks, encode
+from quillon.llm.shared_spans import _Table, _table
+from quillon.plans.checkpoints import checkpointed, plain_unions
 
 #: Bytes of item text sent to the tasks at once (about 3 bytes of hashes for each); more items are taken in blocks, with one pass each.
 BLOCK_BYTES = 16_000_000
@@ -66,58 +69,96 @@ def _same(a: Words, i: np.ndarray, b: Words, j: np.ndarray, n: int) -> np.ndarra
     k = np.arange(n)
     left = a.strings((i[:, None] + k).ravel())
     right = b.strings((j[:, None] + k).ravel())
-    import pyarrow.compute as pc
-
     return pc.equal(left, right).to_numpy(zero_copy_only=False).reshape(-1, n).all(1)
 
 
-def _scan(batches, key: str, ids: list[int], items: Words, grams: list[Grams], cut: bool):
+def _leaked(words: Words, items: Words, grams: list[Grams]) -> np.ndarray:
+    """Which words are in a window that an item has, too."""
+    ends = np.zeros(len(words.hash) + 1, np.int64)
+    for g in grams:
+        hashes, first = words.grams(g.n)
+        at, place = g.hits(hashes)
+        start = first[at]
+        true = start[_same(words, start, items, g.word[place], g.n)] if len(at) else start
+        np.add.at(ends, true, 1)
+        np.add.at(ends, true + g.n, -1)
+    return np.cumsum(ends[:-1]) > 0
+
+
+def _without(words: Words, inside: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Rows that have some of the words ``inside``, their texts without these, and how many they lose."""
+    hit = np.unique(words.row[inside])
+    end = np.append(words.source[1:], len(words.cps))
+    last = np.append(words.row[1:] != words.row[:-1], True)
+    end[last] = words.source[last] + words.size[last]
+    drop = np.zeros(len(words.cps) + 1, np.int64)
+    np.add.at(drop, words.source[inside], 1)
+    np.add.at(drop, end[inside], -1)
+    keep = np.cumsum(drop[:-1]) == 0
+    off = np.concatenate([[0], np.cumsum(keep)])[words.off]
+    removed = np.bincount(words.row[inside], minlength=words.rows)
+    return hit, encode(words.cps[keep], off).cast(pa.string()).take(pa.array(hit)), removed[hit]
+
+
+def _cut(batches, key: str, leaked_in):
+    """The documents with leaked words, without them; ``leaked_in`` (batch, first row, words) tells which words those are."""
     for batch in batches:
-        keys, text = batch.column(0), batch.column(1)
-        for a, b in chunks(text):
-            words = Words(text.slice(a, b - a))
+        for a, b in chunks(batch.column(1)):
+            words = Words(batch.column(1).slice(a, b - a))
+            inside = leaked_in(batch, a, words)
+            if inside.any():
+                hit, out, removed = _without(words, inside)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(hit)), out, pa.array(removed)], [key, "text", "removed_words"])
+
+
+def _find(batches, key: str, ids: list[int], items: Words, grams: list[Grams]):
+    """Documents and the items that they hold."""
+    for batch in batches:
+        for a, b in chunks(batch.column(1)):
+            words = Words(batch.column(1).slice(a, b - a))
             rows, found = [], []
-            leaked = np.zeros(len(words.hash) + 1, np.int64)
             for g in grams:
                 hashes, first = words.grams(g.n)
                 at, place = g.hits(hashes)
-                if not len(at):
-                    continue
                 start = first[at]
-                if cut:
-                    true = _same(words, start, items, g.word[place], g.n)
-                    np.add.at(leaked, start[true], 1)
-                    np.add.at(leaked, start[true] + g.n, -1)
-                else:
-                    pair = words.row[start] * len(ids) + g.item[place]
-                    left = np.arange(len(pair))
-                    while len(left):  # one verified window is enough; others are looked at where the first was a chance hit
-                        _, one = np.unique(pair[left], return_index=True)
-                        one = left[one]
-                        true = _same(words, start[one], items, g.word[place[one]], g.n)
-                        rows.append(words.row[start[one[true]]])
-                        found.append(g.item[place[one[true]]])
-                        left = np.setdiff1d(left, one)
-                        left = left[~np.isin(pair[left], pair[one[true]])]
-            if cut:
-                inside = np.cumsum(leaked[:-1]) > 0
-                hit = np.unique(words.row[inside])
-                if len(hit):
-                    end = np.append(words.source[1:], len(words.cps))
-                    last = np.append(words.row[1:] != words.row[:-1], True)
-                    end[last] = words.source[last] + words.size[last]
-                    drop = np.zeros(len(words.cps) + 1, np.int64)
-                    np.add.at(drop, words.source[inside], 1)
-                    np.add.at(drop, end[inside], -1)
-                    keep = np.cumsum(drop[:-1]) == 0
-                    off = np.concatenate([[0], np.cumsum(keep)])[words.off]
-                    out = encode(words.cps[keep], off).cast(pa.string())
-                    removed = np.bincount(words.row[inside], minlength=words.rows)
-                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(hit)), out.take(pa.array(hit)), pa.array(removed[hit])], [key, "text", "removed_words"])
-            elif rows:
-                row, item = np.concatenate(rows), np.concatenate(found)
-                pair = np.unique(row * len(ids) + item)
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(pair // len(ids))), pa.array([ids[i] for i in (pair % len(ids)).tolist()], pa.int64())], [key, "item_id"])
+                pair = words.row[start] * len(ids) + g.item[place]
+                left = np.arange(len(pair))
+                while len(left):  # one verified window is enough; others are looked at where the first was a chance hit
+                    _, one = np.unique(pair[left], return_index=True)
+                    one = left[one]
+                    true = _same(words, start[one], items, g.word[place[one]], g.n)
+                    rows.append(words.row[start[one[true]]])
+                    found.append(g.item[place[one[true]]])
+                    left = np.setdiff1d(left, one)
+                    left = left[~np.isin(pair[left], pair[one[true]])]
+            if rows:
+                pair = np.unique(np.concatenate(rows) * len(ids) + np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(pair // len(ids))), pa.array([ids[i] for i in (pair % len(ids)).tolist()], pa.int64())], [key, "item_id"])
+
+
+def _runs(batches, items: Words, grams: list[Grams]):
+    """The runs of leaked words of each document, named by the hash of its text."""
+    for batch in batches:
+        for a, b in chunks(batch.column(1)):
+            words = Words(batch.column(1).slice(a, b - a))
+            inside = _leaked(words, items, grams)
+            if inside.any():
+                first = np.cumsum(words.counts()) - words.counts()
+                begin = np.flatnonzero(inside & np.append(True, ~inside[:-1] | (words.row[1:] != words.row[:-1])))
+                end = np.flatnonzero(inside & np.append(~inside[1:] | (words.row[1:] != words.row[:-1]), True)) + 1
+                row = words.row[begin]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(begin - first[row]), pa.array(end - first[row])], ["code", "first", "last"])
+
+
+def _listed(batch: pa.RecordBatch, a: int, words: Words) -> np.ndarray:
+    """The words in the runs that a batch lists for its rows."""
+    first = np.cumsum(words.counts()) - words.counts()
+    ends = np.zeros(len(words.hash) + 1, np.int64)
+    for column, step in ((2, 1), (3, -1)):
+        lists = batch.column(column).slice(a, words.rows)
+        row = np.repeat(np.arange(words.rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        np.add.at(ends, first[row] + pc.list_flatten(lists).to_numpy(zero_copy_only=False), step)
+    return np.cumsum(ends[:-1]) > 0
 
 
 def leaks(documents: DataFrame, items: DataFrame, n: int = 12, key: str = "doc_id", text: str = "text", cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -129,25 +170,37 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, key: str = "doc_i
     documents that hold something, in the consistent form, every leaked window removed.
 
     Null, empty and blank texts hold nothing, items without a word are in nothing, and items with equal
-    texts are each reported; repeated documents each give rows.  Items (``item_id``, ``text``) of more than
-    ``block_bytes`` are taken in blocks, each in a pass of its own over the documents; cutting them is an error.
+    texts are each reported; a document that comes twice gives its rows twice.  Items (``item_id``, ``text``) of
+    more than ``block_bytes`` are taken in blocks, each in a pass of its own over the documents.  Cutting then
+    collects the runs of all blocks, by text, and cuts in one more pass, so that the result is the same.
     """
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if cut and total > block_bytes:
-        raise ValueError(f"cutting takes items of at most {block_bytes} bytes at once")
     blocks = max(1, -(-total // block_bytes))
     kind = documents.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, text string, removed_words bigint" if cut else f"`{key}` {kind}, item_id bigint"
+    rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    without = f"`{key}` {kind}, text string, removed_words bigint"
+    plain_unions(documents.sparkSession)
     out = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
         ids, words = [r.item_id for r in own], Words(pa.array([r.text for r in own], pa.string()))
         grams = _grams(words, n)
+        if not cut:
+            part = rows.mapInArrow(lambda it, i=ids, w=words, g=grams: _find(it, key, i, w, g), f"`{key}` {kind}, item_id bigint")
+        elif blocks == 1:
+            part = rows.mapInArrow(lambda it, w=words, g=grams: _cut(it, key, lambda _, __, own: _leaked(own, w, g)), without)
+        else:
+            part = rows.select(F.xxhash64("text").alias("code"), "text").mapInArrow(lambda it, w=words, g=grams: _runs(it, w, g), "code bigint, first bigint, last bigint")
+        out = part if out is None else out.unionAll(part)
+    if cut and blocks > 1:
+        runs = checkpointed(out.distinct().groupBy("code").agg(F.collect_list(F.struct("first", "last")).alias("r")).select(F.col("code").alias("anchor"), F.col("r.first").alias("first"), F.col("r.last").alias("last")))
+        wanted = _table(runs, runs.count())  # only documents that lose something are shuffled
+        coded = rows.where("text IS NOT NULL").select(F.xxhash64("text").alias("anchor"), "key", "text").mapInArrow(lambda it: _those_in(it, wanted), f"anchor bigint, key {kind}, text string")
+        out = coded.join(runs, "anchor").select("key", "text", "first", "last").mapInArrow(lambda it: _cut(it, key, _listed), without)
+    return out
 
-        def run(batches, ids=ids, words=words, grams=grams):
-            return _scan(batches, key, ids, words, grams, cut)
 
-        part = documents.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out.distinct() if not cut and blocks > 1 else out
+def _those_in(batches, wanted: _Table):
+    for batch in batches:
+        yield batch.filter(pa.array(wanted.has(batch.column(0).to_numpy().view(np.uint64))))
