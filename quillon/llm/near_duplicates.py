@@ -15,7 +15,8 @@ set's size class, so that groups of one class are unions of those of the next an
 enumerates for its own and the next lower class at once.  Of its subsets a set leaves out the ``DROPPED``
 most frequent ones (by the counts of their rarer gram): of s common subsets those can only be the
 most frequent, and s - DROPPED stay in common.  So stock phrases make no long lists, and a pair that
-meets less often than that is no candidate.
+meets less often than that is no candidate.  A key that very many sets may have is split into cells, in
+which every two parts of these sets meet.
 
 Large sets scan inverted lists: they and the sets that can match them post single grams of their
 prefixes (c = 1), and in each list pairs with a large set are kept if sizes and places still allow
@@ -39,10 +40,12 @@ from quillon.llm.codepoints import Words, chunks, mix
 from quillon.llm.shared_spans import _Table, _table
 from quillon.plans.checkpoints import checkpointed
 
-#: Counters of the gram table (4 bytes each at the driver and in every task).
-SLOTS = 1 << 20
+#: Counters of the gram table: one for so many bytes of the records, between these bounds (5 bytes each at the driver and in every task).
+BYTES_PER_SLOT, FEWEST_SLOTS, MOST_SLOTS = 8192, 1 << 20, 1 << 24
 #: Keys in a bucket, about; and rows of texts whose keys a task packs together.
 BUCKET_KEYS, PACK_ROWS = 2_000_000, 12_000
+#: Sets that a key may have, by the counts, before it is split into cells, and cells on a side at most (the counts have steps of a fifth).
+HOT_SETS, MOST_PARTS = 20_000, 1_000
 #: Subsets that two sets have in common at least (in the classes of large enough sets), and those that each set leaves out.
 COMMON, DROPPED = 6, 4
 #: Bits of a gram's hash, and of what is left of it in the order of a set.
@@ -116,7 +119,12 @@ def boundary(t: Threshold, sizes: np.ndarray, sets: np.ndarray, counts: np.ndarr
         own = keys[~large].sum() + (posts[listed].sum() + posts[large].sum() * posts[listed].sum() * meet if large.any() else 0)
         if own < cost:
             best, cost = int(x), own
-    return best
+    return best if len(n) and n.max() > best else 1 << 40  # without a large set no list is posted
+
+
+def slots(size: int) -> int:
+    """Counters for records of so many bytes: a power of two."""
+    return int(min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << int(size // BYTES_PER_SLOT).bit_length())))
 
 
 class _Sets:
@@ -145,9 +153,9 @@ class _Sets:
         return [data[6 * begin[r] : 6 * (begin[r] + self.size[r])] for r in rows.tolist()]
 
 
-def _profile(batches, n: int):
+def _profile(batches, n: int, slots: int):
     """Pass 1: the set of each record, gram counts by slot, and the numbers of sets by size."""
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(slots, np.uint32)
     sizes: dict[int, int] = {}
     names = ["name", "key", "part", "data", "size", "sets"]
     kind = pa.string()
@@ -155,7 +163,8 @@ def _profile(batches, n: int):
         kind = batch.column(0).type
         for a, b in chunks(batch.column(1)):
             s = _Sets(batch.column(1).slice(a, b - a), n)
-            counts += np.bincount((s.grams & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            which, times = np.unique(s.grams & np.uint64(slots - 1), return_counts=True)
+            counts[which.astype(np.int64)] += times.astype(np.uint32)
             for x, y in zip(*(v.tolist() for v in np.unique(s.size[s.rows], return_counts=True))):
                 sizes[x] = sizes.get(x, 0) + y
             k = len(s.rows)
@@ -164,7 +173,7 @@ def _profile(batches, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(s.name[s.rows].view(np.int64)), keys, *blank, pa.array(s.size[s.rows].astype(np.int64)), pa.nulls(k, pa.int64())], names)
     if sizes:
         parts = 16
-        cut = counts.astype(np.uint32).reshape(parts, -1)
+        cut = counts.reshape(parts, -1)
         wide = np.uint8 if counts.max() < 256 else np.uint32
         data = [cut[i].astype(wide).tobytes() for i in range(parts)]
         none = pa.nulls(parts, pa.int64())
@@ -174,17 +183,17 @@ def _profile(batches, n: int):
         yield pa.RecordBatch.from_arrays([*none, pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], names)
 
 
-def _counts(data: bytes) -> np.ndarray:
-    width = len(data) * 16 // SLOTS
+def _counts(data: bytes, slots: int) -> np.ndarray:
+    width = len(data) * 16 // slots
     return np.frombuffer(data, {1: np.uint8, 4: np.uint32}[width]).astype(np.uint64)
 
 
-def _add(batches):
+def _add(batches, slots: int):
     """Sums of the parts' counters, one row for each part that the task has."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = _counts(data)
+            own = _counts(data, slots)
             sums[part] = sums[part] + own if part in sums else own
     if sums:
         data = [np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in sums.values()]
@@ -193,13 +202,39 @@ def _add(batches):
 
 def _rarity(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of seven bits."""
-    return np.minimum(4 * np.log2(1.0 + counts), 127).astype(np.uint64)
+    return np.minimum(4 * np.log2(1.0 + counts), 127).astype(np.uint8)
+
 
+def split_into(counts: np.ndarray, most: int) -> np.ndarray:
+    """Parts for each rarity, so that a part has about ``most`` sets; what a slot holds of other grams (the median, with a margin) is taken off."""
+    noise = float(np.median(counts)) if len(counts) else 0.0
+    above = 2.0 ** (np.arange(128) / 4) - 1.2 * (noise + 6 * np.sqrt(noise))
+    return np.clip(np.ceil(above / most), 1, MOST_PARTS).astype(np.int64)
 
-def _keys(s: _Sets, t: Threshold, rarity: np.ndarray, x: int, skip: np.ndarray):
+
+def _cells(names: np.ndarray, who: np.ndarray, keys: np.ndarray, weights: np.ndarray, split: np.ndarray, places: np.ndarray | None = None):
+    """The keys, those that very many sets may have split into cells.
+
+    The sets of such a key fall into parts by their names, and every two parts have a cell where they
+    meet; a set goes to all cells of its part, so that no task gets a whole hot key.  Sets of one part meet in
+    several cells: they are counted more often than they should be, which costs a look and no link.
+    """
+    parts = split[weights.astype(np.int64)]
+    if not len(parts) or parts.max() == 1:
+        return who, keys, places
+    i = np.repeat(np.arange(len(parts)), parts)
+    other = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
+    p = parts[i]
+    own = (mix(names[who[i]]) % p.astype(np.uint64)).astype(np.int64)
+    cell = np.minimum(own, other) * p + np.maximum(own, other)
+    key = np.where(p > 1, mix(keys[i] ^ mix(cell.astype(np.uint64) + np.uint64(1))), keys[i])
+    return who[i], key, None if places is None else places[i]
+
+
+def _keys(s: _Sets, t: Threshold, rarity: np.ndarray, x: int, skip: np.ndarray, split: np.ndarray):
     """(set, key) of small sets and (set, key, place) of the inverted lists; ``skip`` marks rows that need none."""
     one, row_at, token_at = np.uint64(1), np.uint64(GRAM_BITS), np.uint64(GRAM_BITS - TOKEN_BITS)
-    rare = rarity[(s.grams & np.uint64(SLOTS - 1)).astype(np.int64)]
+    rare = rarity[(s.grams & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
     token = mix(s.grams) >> np.uint64(64 - TOKEN_BITS)
     order = np.sort(s.row.astype(np.uint64) << row_at | rare << np.uint64(TOKEN_BITS) | token)  # by row, rarest first
     row = (order >> row_at).astype(np.int64)
@@ -251,10 +286,10 @@ def _keys(s: _Sets, t: Threshold, rarity: np.ndarray, x: int, skip: np.ndarray):
         has = end - drop > begin
         most[has] = both[(end - drop - 1)[has]] & np.uint64((1 << 39) - 1)
         keep = level <= most[who]
-        who, key = who[keep], key[keep]
+        who, key, _ = _cells(s.name, who[keep], key[keep], weight[keep], split)
     listed = live & (s.size >= t.smallest(x + 1))[row] & (place < (s.size - t.need(s.size, t.smallest(s.size)) + 1)[row])
     at = np.flatnonzero(listed)
-    return (who, key), (row[at], mix(token[at] ^ LISTED), place[at])
+    return (who, key), _cells(s.name, row[at], mix(token[at] ^ LISTED), rare[at], split, place[at])
 
 
 def _pack(names: np.ndarray, sizes: np.ndarray, who: np.ndarray, keys: np.ndarray, places: np.ndarray | None, buckets: int):
@@ -287,7 +322,7 @@ def _unpack(data: bytes, listed: bool):
     return keys, np.repeat(names, counts), np.repeat(sizes, counts), out[4] if listed else np.zeros(0, np.uint32)
 
 
-def _post(batches, n: int, t: Threshold, rarity: np.ndarray, x: int, buckets: int):
+def _post(batches, n: int, t: Threshold, rarity: np.ndarray, x: int, buckets: int, split: np.ndarray):
     """Pass 2: packed keys of all sets, equal sets of a task once."""
     held: list[tuple] = []
     seen: set[int] = set()
@@ -315,7 +350,7 @@ def _post(batches, n: int, t: Threshold, rarity: np.ndarray, x: int, buckets: in
                 if name not in seen:
                     seen.add(name)
                     skip[r] = False
-            small, listed = _keys(s, t, rarity, x, skip)
+            small, listed = _keys(s, t, rarity, x, skip, split)
             if rows + len(s.size) > PACK_ROWS and held:
                 yield from flush()
                 held, rows = [], 0
@@ -368,27 +403,16 @@ def _meet(keys, names, sizes, places, t: Threshold, x: int, listed: bool, block:
 
 
 def _candidates(batches, t: Threshold, x: int):
-    """Pairs met in the buckets of a task; rows come sorted by bucket."""
-    def pairs_of(parts, listed):
-        got = [_unpack(d, listed) for d in parts]
-        return _meet(*(np.concatenate([g[i] for g in got]) for i in range(4)), t, x, listed)
-
-    def out(held):
-        for listed, parts in held.items():
-            if parts:
-                for pairs, times, needed in pairs_of(parts, listed):
-                    ends = [pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*ends, pa.array(times), pa.array(needed)], ["a", "b", "times", "needed"])
-
-    held: dict[bool, list[bytes]] = {False: [], True: []}
-    now = None
+    """Pairs met in the bucket of a task."""
+    held: dict[bool, list[tuple]] = {False: [], True: []}
     for batch in batches:
-        for bucket, listed, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if bucket != now:
-                yield from out(held)
-                held, now = {False: [], True: []}, bucket
-            held[listed].append(data)
-    yield from out(held)
+        for listed, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[listed].append(_unpack(data, listed))
+    for listed, parts in held.items():
+        if parts:
+            for pairs, times, needed in _meet(*(np.concatenate([p[i] for p in parts]) for i in range(4)), t, x, listed):
+                ends = [pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(times), pa.array(needed)], ["a", "b", "times", "needed"])
 
 
 def _grams(batches, n: int, wanted: _Table):
@@ -473,7 +497,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(linked, "name", "left").select("name", F.coalesce("label", "name").alias("label"))
 
 
-def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, p: int = 4, q: int = 5) -> NearDuplicates:
+def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, p: int = 4, q: int = 5, hot: int = HOT_SETS) -> NearDuplicates:
     """Links between the texts of ``records`` whose sets of ``n`` consecutive words are p/q alike or more (p/q at least 1/2).
 
     Exact up to hashes (44 bits for a gram, 64 for a set).  Texts with fewer than n words (null and empty ones too) have no grams and
@@ -486,20 +510,21 @@ def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, p: int
     t = Threshold(p, q)
     rows = records.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = records.schema[key].dataType.simpleString()
-    profile = checkpointed(rows.mapInArrow(lambda it: _profile(it, n), f"name bigint, key {kind}, part int, data binary, size bigint, sets bigint"))
+    size = slots(int(rows.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    profile = checkpointed(rows.mapInArrow(lambda it: _profile(it, n, size), f"name bigint, key {kind}, part int, data binary, size bigint, sets bigint"))
     members = profile.where("name IS NOT NULL").select("name", "key", "size")
     sizes = profile.where("sets IS NOT NULL").groupBy("size").agg(F.sum("sets").alias("sets")).toArrow()
-    parts = profile.where("part IS NOT NULL").select("part", "data").repartition(16, "part").mapInArrow(_add, "part int, data binary").collect()
-    counts = np.zeros(SLOTS, np.uint64)
+    parts = profile.where("part IS NOT NULL").select("part", "data").repartition(16, "part").mapInArrow(lambda it: _add(it, size), "part int, data binary").collect()
+    counts = np.zeros(size, np.uint64)
     for r in parts:
-        counts.reshape(16, -1)[r.part] = _counts(r.data)
-    size, sets = sizes["size"].to_numpy(), sizes["sets"].to_numpy()
-    x = boundary(t, size, sets, counts)
-    rarity = _rarity(counts)
-    expected = float((_subsets(t, size.astype(np.int64)) * sets).sum())
+        counts.reshape(16, -1)[r.part] = _counts(r.data, size)
+    grams, sets = sizes["size"].to_numpy(), sizes["sets"].to_numpy()
+    x = boundary(t, grams, sets, counts)
+    rarity, split = _rarity(counts), split_into(counts, hot)
+    expected = float((_subsets(t, grams.astype(np.int64)) * sets).sum())
     buckets = int(max(spark.sparkContext.defaultParallelism, expected // BUCKET_KEYS + 1))
-    posted = rows.select("text").mapInArrow(lambda it: _post(it, n, t, rarity, x, buckets), "bucket int, listed boolean, data binary")
-    met = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _candidates(it, t, x), "a bigint, b bigint, times bigint, needed bigint")
+    posted = rows.select("text").mapInArrow(lambda it: _post(it, n, t, rarity, x, buckets, split), "bucket int, listed boolean, data binary")
+    met = posted.repartitionById(buckets, "bucket").select("listed", "data").mapInArrow(lambda it: _candidates(it, t, x), "a bigint, b bigint, times bigint, needed bigint")
     pairs = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed")).where("times >= needed").select("a", "b")
     pairs = checkpointed(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()

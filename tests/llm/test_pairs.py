@@ -41,14 +41,14 @@ def edits(spark):
     return rows, spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "tale_id string, raw_text string, name string, size int")
 
 
-@pytest.mark.parametrize(("n", "p", "q", "x"), [(3, 1, 2, None), (3, 1, 2, 40), (3, 1, 2, 1), (5, 4, 5, None), (1, 1, 1, None)])
-def test_near_duplicates_agree_with_brute_force(spark, edits, monkeypatch, n, p, q, x):
+@pytest.mark.parametrize(("n", "p", "q", "x", "hot"), [(3, 1, 2, None, N.HOT_SETS), (3, 1, 2, 40, N.HOT_SETS), (3, 1, 2, 1, 3), (3, 1, 2, None, 2), (5, 4, 5, None, N.HOT_SETS), (1, 1, 1, None, N.HOT_SETS)])
+def test_near_duplicates_agree_with_brute_force(spark, edits, monkeypatch, n, p, q, x, hot):
     if x:
         monkeypatch.setattr(N, "boundary", lambda *a: x)
     rows, df = edits
     sets = {k: grams(t, n) for k, t in rows if k and grams(t, n)}
     exact = {(a, b) for a in sets for b in sets if a < b and q * len(sets[a] & sets[b]) >= p * len(sets[a] | sets[b])}
-    found = N.near_duplicates(df, "tale_id", "raw_text", n, p, q)
+    found = N.near_duplicates(df, "tale_id", "raw_text", n, p, q, hot)
     assert {(r.a, r.b) for r in found.pairs().collect()} == exact
     label = {k: k for k in sets}
     for _ in sets:
@@ -82,9 +82,10 @@ def test_sets_alike_meet_often_enough(t):
         s = N._Sets.__new__(N._Sets)
         s.grams = np.concatenate([np.sort(pool[:n]), np.sort(np.concatenate([pool[:need], pool[n : n + m - need]]))])
         s.row, s.size = np.repeat([0, 1], [n, m]), np.array([n, m])
-        rarity = N._rarity(rng.integers(1, 5, N.SLOTS))
+        s.name = N.mix(np.arange(2).astype(np.uint64))
+        rarity = N._rarity(rng.integers(1, 5, N.FEWEST_SLOTS))
         for x in (1 << 40, 20, 1):
-            small, listed = N._keys(s, t, rarity, x, np.zeros(2, bool))
+            small, listed = N._keys(s, t, rarity, x, np.zeros(2, bool), N.split_into(np.ones(1), N.HOT_SETS))
             who, keys = small if max(n, m) <= x else listed[:2]
             common = len(set(keys[who == 0].tolist()) & set(keys[who == 1].tolist()))
             full = max(n, m) <= x and N._common_subsets(t, N._class(np.array([min(n, m)])))[0] == N.COMMON
@@ -95,6 +96,8 @@ def test_boundary_weighs_costs():
     t, counts = N.Threshold(1, 2), np.full(1000, 50)
     assert N.boundary(t, np.array([10, 20]), np.array([1000, 1000]), counts) >= 20
     assert N.boundary(t, np.array([10, 100_000]), np.array([1000, 1]), np.ones(10**6)) < 100_000
+    assert N.split_into(np.full(9, 10**6), 1000)[80] == 1 < N.split_into(np.full(9, 10), 1000)[80]  # 2^20 sets
+    assert N.slots(10**6) == N.FEWEST_SLOTS and N.FEWEST_SLOTS < N.slots(12 * 10**9) <= N.slots(10**14) == N.MOST_SLOTS
 
 
 def spans_by_hand(texts, least):
