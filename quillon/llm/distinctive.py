@@ -111,6 +111,7 @@ def _score_heavy(batches, heavy, cf, df, total, min_tf, max_texts, top):
     names = ["bin", "pairs", "tale_id", "term", "tf", "occurrences", "texts", "n", "logp"]
     bins: dict[int, int] = {}
     terms = pa.array(heavy.terms, pa.string())
+    by_name = np.argsort(np.argsort(np.array([t.encode() for t in heavy.terms], object))) if heavy.terms else np.zeros(0, np.int64)
     for batch in batches:
         text = texts_of(batch, list(range(1, batch.num_columns)))
         for a, b in chunks(text):
@@ -125,7 +126,7 @@ def _score_heavy(batches, heavy, cf, df, total, min_tf, max_texts, top):
                 bins[x] = bins.get(x, 0) + y
             keep = np.flatnonzero((tf >= min_tf) & (df[slot] <= max_texts))
             if top is not None and len(keep):
-                order = keep[np.lexsort((slot[keep], logp[keep], row[keep]))]
+                order = keep[np.lexsort((by_name[slot[keep]], np.round(logp[keep], 6), row[keep]))]
                 begin = np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))
                 keep = order[np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order)))) < top]
             if len(keep):
@@ -147,13 +148,13 @@ def _score_light(batches, total):
 
 
 def distinctive_terms(texts: DataFrame, columns: list[str], key: str = "tale_id", min_tf: int = 1, max_texts: int | None = None, top: int | None = None, share: float = SHARE) -> DataFrame:
-    """(key, term, tf, texts, occurrences, n, p, score): how much each word marks out each record.
+    """(key, term, tf, texts, occurrences, n, log_p, score): how much each word marks out each record.
 
     ``tf`` counts the word in the record's text columns together, ``texts`` and ``occurrences`` over all
-    records, ``n`` is the record's number of words.  ``score`` is -ln of the adjusted chance ``p`` (0 for words
-    expected anyway), exact but for the adjustment, which takes ranks to 2% of a probability.  Only
+    records, ``n`` is the record's number of words.  ``log_p`` is the exact logarithm of the chance, and
+    ``score`` is minus that of the adjusted chance (0 for words expected anyway); the adjustment takes ranks to 2% of a probability.  Only
     pairs with at least ``min_tf`` and at most ``max_texts`` are returned, or the ``top`` best of each record
-    (ties by term); the adjustment always covers all pairs.  Each row of ``texts`` is a record (string
+    (ties to six places of log_p by term); the adjustment always covers all pairs.  Each row of ``texts`` is a record (string
     keys); records without words give no rows, and a null key is passed on.
     """
     spark = texts.sparkSession
@@ -165,8 +166,9 @@ def distinctive_terms(texts: DataFrame, columns: list[str], key: str = "tale_id"
     cf, df = np.zeros(len(heavy.hashes), np.int64), np.zeros(len(heavy.hashes), np.int64)
     for r in counted.where("slot >= 0").groupBy("slot").agg(F.sum("tf").alias("cf"), F.sum("n").alias("df")).collect():
         cf[r.slot], df[r.slot] = r.cf, r.df
-    by_term = Window.partitionBy("term")
-    light = counted.where("slot < 0").select("tale_id", "term", "tf", F.sum("tf").over(by_term).alias("occurrences"), F.count("*").over(by_term).alias("texts"), "n")
+    light = counted.where("slot < 0").select("tale_id", "term", "tf", "n")
+    sums = light.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("texts"))  # joined back, so that a frequent term can be split
+    light = light.join(sums, "term").select("tale_id", "term", "tf", "occurrences", "texts", "n")
     layout = "tale_id string, term string, tf bigint, occurrences bigint, texts bigint, n bigint, logp double"
     light = checkpointed(light.mapInArrow(lambda it: _score_light(it, total), f"bin bigint, {layout}"))
     scored = checkpointed(source.mapInArrow(lambda it: _score_heavy(it, heavy, cf, df, total, min_tf, max_texts, top), f"bin bigint, pairs bigint, {layout}"))
@@ -184,9 +186,9 @@ def distinctive_terms(texts: DataFrame, columns: list[str], key: str = "tale_id"
         light.where((F.col("tf") >= min_tf) & (F.col("texts") <= int(max_texts))).drop("bin")
     )
     if top is not None:
-        best = Window.partitionBy("tale_id").orderBy("logp", "term")
+        best = Window.partitionBy("tale_id").orderBy(F.round("logp", 6), "term")
         every = every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).drop("place")
     bin_ = F.least((-F.col("logp") * PER_UNIT).cast("bigint"), F.lit(BINS - 1))
     joined = every.withColumn("bin", bin_).join(adjust, "bin")
     score = F.greatest(F.lit(0.0), -F.least(F.col("logp") + F.col("shift"), F.col("least")))
-    return joined.select(F.col("tale_id").alias(key), "term", "tf", "texts", "occurrences", "n", F.exp("logp").alias("p"), score.alias("score"))
+    return joined.select(F.col("tale_id").alias(key), "term", "tf", "texts", "occurrences", "n", F.col("logp").alias("log_p"), score.alias("score"))

@@ -16,6 +16,7 @@ from quillon.llm.leakage import leaks
 from quillon.llm.near_duplicates import near_duplicates
 from quillon.llm.shared_spans import shared_amounts, shared_spans
 from quillon.llm.spam import spam_scores
+from quillon.llm.sql import ORACLES
 from quillon.llm.tales import one_row_per_tale
 from quillon.llm.term_counts import term_counts
 from quillon.llm.tokens import token_ids
@@ -53,7 +54,7 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_amounts(spark: SparkSession, d: str) -> DataFrame:
-    return shared_amounts(_spans(spark, d))
+    return shared_amounts(_spans(spark, d)).select("field", "tale_id", "size", "shared")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +68,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_top(spark: SparkSession, d: str) -> DataFrame:
     texts = one_row_per_tale(table(spark, d, "tales"), "title", "raw_text")
-    return distinctive_terms(texts, ["title", "raw_text"], top=5)
+    best = distinctive_terms(texts, ["title", "raw_text"], top=5)
+    return best.select("tale_id", "term", "tf", "texts", "occurrences", "n", F.round("log_p", 4).alias("log_p"), F.round("score", 3).alias("score"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -124,7 +124,7 @@ def test_distinctive_terms(spark, share):
     order = sorted(p.values())
     for k, r in rows.items():
         q = min(1.0, min(len(p) * x / sum(y <= x + 1e-12 for y in order) for x in order if x >= p[k] - 1e-12))
-        assert r.p == pytest.approx(p[k]) and r.score == pytest.approx(-math.log(q), abs=0.021)
+        assert r.log_p == pytest.approx(math.log(p[k]), abs=1e-9) and r.score == pytest.approx(-math.log(q), abs=0.021)
         assert (r.tf, r.occurrences, r.texts) == (counts[int(k[0])][k[1]], cf[k[1]], sum(k[1] in c for c in counts))
     few = distinctive_terms(df, ["title", "raw_text"], min_tf=3, max_texts=1, share=share).collect()
     assert [(r.tale_id, r.term) for r in few] == [("2", "tiger")]
