@@ -19,7 +19,7 @@ from quillon.llm.spam import spam_scores
 from quillon.llm.sql import ORACLES
 from quillon.llm.tales import one_row_per_tale
 from quillon.llm.term_counts import term_counts
-from quillon.llm.tokens import token_ids
+from quillon.llm.tokens import token_ids, token_texts
 from quillon.plans.shipping import ship
 from quillon.sources.tables import table
 
@@ -92,6 +92,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), VOCABULARY)
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that come back from the ids."""
+    return token_texts(token_ids(table(spark, d, "documents"), VOCABULARY), VOCABULARY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -120,7 +125,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = (
-    p1_found, p1_groups, p1_documents, p2_found, p3_found, p3_spans, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p8_found, p8_cut, p9_found, p9_scores,
+    p1_found, p1_groups, p1_documents, p2_found, p3_found, p3_spans, p3_amounts, p4_found, p4_top, p5_found, p5_texts, p6_found, p6_terms, p7_ids, p7_texts, p8_found, p8_cut, p9_found, p9_scores,
 )
 
 

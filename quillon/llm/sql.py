@@ -1,6 +1,6 @@
 """The same results as SQL for DuckDB, by other ways: brute force over words, windows and pairs.
 
-p2, p3_spans, p7 and p9 are not here: mapping free entries has rules that SQL could only repeat, maximal spans and
+p2, p3_spans, p7_ids and p9 are not here: mapping free entries has rules that SQL could only repeat, maximal spans and
 token ids are compared with brute force and with the tokenizers library in the tests, and the robust fit is no SQL.
 """
 
@@ -103,6 +103,7 @@ FROM sizes JOIN groups ON k = tale_id LEFT JOIN links ON a = tale_id""",
     "p6_terms": f"""WITH {_ONE}, words AS (SELECT tale_id, {_words(_form('raw_text'))} AS w FROM one),
 terms AS (SELECT term, count(*) AS occurrences, count(DISTINCT tale_id) AS texts FROM (SELECT tale_id, unnest(w) AS term FROM words) GROUP BY term)
 SELECT term, occurrences, texts, CASE WHEN texts < 3 THEN 'rare' WHEN texts > 0.4 * (SELECT count(*) FROM words WHERE len(w) > 0) THEN 'common' END AS mark FROM terms""",
+    "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM places JOIN asked USING (k, gram)",
     "p8_cut": f"WITH {_LEAKS}, {_CUT} SELECT doc_id, {_LEFT} AS text, removed_words FROM cut",
 }

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillon.llm.codepoints import TOP, chunks, decode, slice_hashes
@@ -123,8 +124,14 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # takes a slice as one piece
         self.single = {k: [v] for k, v in ranks.items()}
+        # The bytes of all tokens end to end, in the order of their ids.
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        size[list(ranks.values())] = [len(k) for k in ranks]
+        self.size = size
+        self.place = np.cumsum(size) - size
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
         self.forget()
 
     def forget(self):
@@ -139,7 +146,7 @@ class Encoder:
 
     def learn(self, hashes: list[int], pieces: list[bytes]):
         for h, piece in zip(hashes, pieces):
-            ids = self.single.get(piece) or self.merge(piece)
+            ids = self.single.get(piece) or self.merge(piece.decode())
             if self.used == len(self.count):
                 self.count = np.concatenate([self.count, np.zeros_like(self.count)])
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -195,14 +202,34 @@ class Encoder:
         return ids, per_slice[rows]
 
 
+    def begins(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The byte of its text (in UTF-8) at which each id begins."""
+        end = np.concatenate([[0], np.cumsum(self.size[ids])])
+        return end[:-1] - np.repeat(end[off[:-1]], np.diff(off))
+
+    def decode(self, ids: np.ndarray, off: np.ndarray, null: np.ndarray) -> pa.Array:
+        """The texts of flat ids: one gather of all bytes."""
+        size = self.size[ids]
+        end = np.concatenate([[0], np.cumsum(size)])
+        flat = self.bytes[np.repeat(self.place[ids] - end[:-1], size) + np.arange(end[-1])]
+        mask = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+        raw = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [mask, pa.py_buffer(end[off].tobytes()), pa.py_buffer(flat.tobytes())])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # ids that were not made from a text
+            return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def token_ids(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_ids(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
     """(key, ids): the ids that the vocabulary file at ``vocabulary`` gives the text as stored.
 
+    With ``offsets`` also an array ``begins``, the byte of the text (in UTF-8) at which each id begins.
+
     Strings that look like special tokens are ordinary text.  Null and empty texts both give an empty
     list.  One row for each row of ``df``, repeated or not; a null key is passed on; other columns are
     not read.  A text of any length is encoded whole.  No shuffle.
@@ -214,10 +241,11 @@ def token_ids(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
         for batch in batches:
             for a, b in chunks(batch.column(1), limit=1 << 19):
                 ids, off = own.encode(batch.column(1).slice(a, b - a))
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [key, "ids"])
+                columns = [ids, own.begins(ids, off).astype(np.int32)] if offsets else [ids]
+                ends = pa.array(off.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns)], [key, "ids", "begins"][: 1 + len(columns)])
 
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"`{key}` {kind}, ids array<int>" + ", begins array<int>" * offsets)
 
 
 def token_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -226,9 +254,11 @@ def token_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
 
     def run(batches):
         own = encoder(vocabulary)
-        pieces = {v[0]: k for k, v in own.single.items()}
         for batch in batches:
-            out = [None if r is None else b"".join(map(pieces.__getitem__, r)).decode("utf-8", "replace") for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "text"])
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+            null = lists.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), own.decode(flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), null)], [key, "text"])
 
     return df.select(f"`{key}`", f"`{ids}`").mapInArrow(run, f"`{key}` {kind}, text string")

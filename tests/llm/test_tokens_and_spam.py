@@ -46,6 +46,13 @@ def test_rows_and_round_trip(spark):
     assert out.count() == 5 and got[2] == [] and got[3] == [] and 50256 not in got[None]
     assert {r.doc_id: r.text for r in token_texts(out, VOCABULARY).collect()} == {1: rows[0][1], 2: "", 3: "", None: "<|endoftext|>"}
     assert token_ids(df.limit(0), VOCABULARY).count() == 0
+    own = Encoder(VOCABULARY)
+    for r in token_ids(df, VOCABULARY, offsets=True).where("size(ids) > 0").collect():
+        raw = {k: v for k, v, _ in rows}[r.doc_id].encode()
+        pieces = [raw[a:b] for a, b in zip(r.begins, [*r.begins[1:], len(raw)])]
+        assert [own.single[p][0] for p in pieces] == r.ids
+    broken = spark.createDataFrame([(1, [own.single[b"\xe3"][0]]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    assert [r.text for r in token_texts(broken, VOCABULARY).orderBy("doc_id").collect()] == ["\ufffd", None, ""]
 
 
 PROSE = [
