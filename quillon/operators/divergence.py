@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.weights import plain
-from quillon.operators.index import Index, variants
+from quillon.operators.index import Index, terms_of, variants
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ def pair_scores(index: Index, tale_type: str) -> DataFrame:
     Shared terms come from a join on the term; pairs without one stay with 0.
     """
     docs = variants(index, tale_type).select("doc_id", "doc_seq")
-    weights = index.postings.join(docs.select("doc_id"), "doc_id").select("doc_id", "doc_seq", "term", plain(index.n_docs).alias("w"))
+    weights = terms_of(index.documents.join(docs.select("doc_id"), "doc_id")).select("doc_id", "doc_seq", "term", plain(index.n_docs).alias("w"))
     a, b = (weights.select(F.col("doc_id").alias(f"doc_{x}"), F.col("doc_seq").alias(f"seq_{x}"), "term", F.col("w").alias(f"w{x}")) for x in "ab")
     shared = a.join(b, "term").where("seq_a < seq_b").groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.count("*").alias("shared"))
     sizes = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("terms"))
@@ -61,7 +61,7 @@ def centroid_terms(index: Index, tale_type: str, k: int = 20) -> DataFrame:
     """The ``k`` terms of greatest mean weight over the variants (absent is 0); ties by term."""
     docs = variants(index, tale_type).select("doc_id")
     n = docs.count()
-    rows = index.postings.join(docs, "doc_id").groupBy("term").agg((F.sum(plain(index.n_docs)) / F.lit(float(max(1, n)))).alias("exact"))
+    rows = terms_of(index.documents.join(docs, "doc_id")).groupBy("term").agg((F.sum(plain(index.n_docs)) / F.lit(float(max(1, n)))).alias("exact"))
     return rows.select("term", F.round("exact", 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(k)
 
 

@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import analyze, snippet
-from quillon.functions.weights import plain, zoned
+from quillon.functions.weights import damped, idf, plain
 from quillon.plans.checkpoints import checkpointed
-from quillon.sources.corpus import fingerprint
+from quillon.plans.shipping import ship
+from quillon.sources.corpus import digest, fingerprint, fingerprint_of, snapshot
 
 META = ("tale_id", "title", "tale_type", "region", "tradition", "source_collection", "translator", "collection_era")
-#: A lexicon of at most this many rows is broadcast to the tokens.
-LEXICON_ROWS = 1_000_000
+#: A lexicon, or a list of terms with their df, of at most this many rows is broadcast.
+BROADCAST_ROWS = 1_000_000
+LENGTHS = ("pp", "tt", "tb", "bb")
 
 
 @dataclass(frozen=True)
 class Index:
-    """registry: a row for each document; postings: one for each term and document, with the term's df; term_stats (term, df, cf); stats of the collection."""
+    """registry: a row for each document; postings: one for each term and document, with the term's df, sorted by term; term_stats (term, df, cf).
+
+    documents: a row for each document with its terms (term, tf, tf_title, tf_body, df), sorted by document; lengths: sums of squared weights of each
+    document, from which its norm follows for any zone weights.
+    """
 
     registry: DataFrame
     postings: DataFrame
+    documents: DataFrame
     term_stats: DataFrame
+    lengths: DataFrame
     n_docs: int
     n_with_tokens: int
     total_tokens: int
     fingerprint: str | None = None
-    _norms: dict = field(default_factory=dict, compare=False, repr=False)
+    snapshot: str | None = None
 
     @property
     def avgdl(self) -> float:
@@ -39,81 +50,128 @@ class Index:
         """Postings of some terms; the filter reaches the scan, whose files are ranges of terms."""
         return self.postings.where(F.col("term").isin(terms)) if terms else self.postings.limit(0)
 
+    def of_documents(self, doc_ids: list[str]) -> DataFrame:
+        """(doc_id, doc_seq, term, tf, tf_title, tf_body, df) of some documents; the filter reaches the scan, whose files are ranges of documents."""
+        return terms_of(self.documents.where(F.col("doc_id").isin(doc_ids)) if doc_ids else self.documents.limit(0))
+
     def document_frequencies(self, terms: list[str]) -> dict[str, int]:
         """df of the terms that occur; at most one row for each of them comes to the driver."""
         return {r.term: r.df for r in self.term_stats.where(F.col("term").isin(terms)).collect()} if terms else {}
 
     def norms(self, title: float | None = None, body: float | None = None) -> DataFrame:
-        """(doc_id, norm) over all terms of each document: plain weights, or zoned ones; kept for each pair of weights. Documents with norm 0 are left out."""
-        if (title, body) not in self._norms:
-            self._norms[title, body] = checkpointed(self._new_norms(title, body))
-        return self._norms[title, body]
-
-    def _new_norms(self, title: float | None, body: float | None) -> DataFrame:
-        weight = plain(self.n_docs) if title is None else zoned(self.n_docs, title, body)
-        sums = self.postings.groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-        return sums.where("norm > 0")
+        """(doc_id, norm) over all terms of each document: plain weights, or zoned ones. Documents with norm 0 are left out."""
+        square = F.col("pp") if title is None else F.lit(float(title) ** 2) * F.col("tt") + F.lit(2.0 * title * body) * F.col("tb") + F.lit(float(body) ** 2) * F.col("bb")
+        return self.lengths.select("doc_id", F.sqrt(F.greatest(square, F.lit(0.0))).alias("norm")).where("norm > 0")
 
     def document_vector(self, *doc_ids: str) -> DataFrame:
         """(doc_id, term, weight), plain weights."""
-        return self.postings.where(F.col("doc_id").isin(*doc_ids)).select("doc_id", "term", plain(self.n_docs).alias("weight"))
-
-
-def occurrences(corpus: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """(doc_id, doc_seq, term, pos, zone) of every token; body positions go on after the title's."""
-    zones = corpus.select(F.col("tale_id").alias("doc_id"), "doc_seq", analyze(F.col("title")).alias("title"), analyze(F.col("raw_text")).alias("body"))
-    rows = zones.select("doc_id", "doc_seq", F.size("title").alias("in_title"), F.posexplode(F.concat("title", "body")).alias("pos", "term"))
-    if lexicon is not None:
-        if lexicon.count() <= LEXICON_ROWS:
-            lexicon = F.broadcast(lexicon)
-        rows = rows.join(lexicon.select(F.col("form").alias("term"), "lemma"), "term", "left").withColumn("term", F.coalesce("lemma", "term"))
-    return rows.select("doc_id", "doc_seq", "term", "pos", F.when(F.col("pos") < F.col("in_title"), "title").otherwise("body").alias("zone"))
+        return self.of_documents(list(doc_ids)).select("doc_id", "term", plain(self.n_docs).alias("weight"))
+
+
+def _by_term(batches):
+    """The positions of each term of each document: one sort of a batch's tokens, nothing leaves the task."""
+    names = ["term", "doc_id", "doc_seq", "tf", "tf_title", "positions"]
+    for batch in batches:
+        doc_id, doc_seq, in_title, terms = batch.columns
+        size = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)
+        if not len(row):
+            continue
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        coded = pc.list_flatten(terms).dictionary_encode()
+        key = row * len(coded.dictionary) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        ends = np.append(first, len(key))
+        own = row[order][first]
+        title_tf = np.add.reduceat((pos < in_title.to_numpy()[row])[order].astype(np.int32), first)
+        which = pa.array(own)
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(coded.indices.take(pa.array(order[first]))), doc_id.take(which), doc_seq.take(which), pa.array(np.diff(ends).astype(np.int32)), pa.array(title_tf.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos[order].astype(np.int32)))],
+            names,
+        )
+
+
+def _lemmatised(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The pairs by lemma: the positions of several forms of a document together."""
+    if lexicon.count() <= BROADCAST_ROWS:
+        lexicon = F.broadcast(lexicon)
+    rows = pairs.join(lexicon.select(F.col("form").alias("term"), "lemma"), "term", "left").withColumn("term", F.coalesce("lemma", "term"))
+    return rows.groupBy("term", "doc_id", "doc_seq").agg(
+        F.sum("tf").cast("int").alias("tf"), F.sum("tf_title").cast("int").alias("tf_title"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")
+    )
 
 
 def build_index(corpus: DataFrame, lexicon: DataFrame | None = None) -> Index:
     """Index of accepted rows (one for each tale_id, with ``doc_seq``).
 
-    Tokens are grouped by term and document, so that no term is a hot group; df comes from partial
-    counts and is joined back (a hot term is split by skew handling); the postings are written in
-    ranges of terms.
+    The texts are read once, into a table of the registry with the tokens.  Tokens are grouped within their row, so
+    that no occurrence is shuffled and no term is a hot group; df comes from partial counts and is joined back, by
+    broadcast if the vocabulary is small enough.  The postings are written in ranges of terms, and in ranges of documents.
     """
-    title_size, body_size = F.size(analyze(F.col("title"))), F.size(analyze(F.col("raw_text")))
-    registry = checkpointed(
-        corpus.select(F.col("tale_id").alias("doc_id"), "doc_seq", *META, (title_size + body_size).alias("token_count"), snippet(F.col("raw_text")).alias("snippet"))
-    )
-    tf = F.count("*").cast("int")
-    title_tf = F.count(F.when(F.col("zone") == "title", 1)).cast("int")
-    pairs = checkpointed(
-        occurrences(corpus, lexicon).groupBy("term", "doc_id", "doc_seq")
-        .agg(tf.alias("tf"), title_tf.alias("tf_title"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
+    ship(corpus.sparkSession)
+    tokens = F.concat("_t", "_b")
+    read = corpus.select(F.col("tale_id").alias("doc_id"), "doc_seq", *META, snippet(F.col("raw_text")).alias("snippet"), digest(corpus.columns).alias("digest"), analyze(F.col("title")).alias("_t"), analyze(F.col("raw_text")).alias("_b"))
+    read = checkpointed(read.select("doc_id", "doc_seq", *META, F.size(tokens).alias("token_count"), "snippet", "digest", F.size("_t").alias("in_title"), tokens.alias("tokens")))
+    registry = read.drop("digest", "in_title", "tokens")
+    kind = read.schema["doc_seq"].dataType.simpleString()
+    pairs = read.select("doc_id", "doc_seq", "in_title", "tokens").mapInArrow(_by_term, f"term string, doc_id string, doc_seq {kind}, tf int, tf_title int, positions array<int>")
+    pairs = checkpointed(pairs if lexicon is None else _lemmatised(pairs, lexicon))
     stats = checkpointed(pairs.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartitionByRange("term").sortWithinPartitions("term"))
-    postings = pairs.join(stats.select("term", F.col("df").cast("int").alias("df")), "term").select(
+    df = stats.select("term", F.col("df").cast("int").alias("df"))
+    joined = pairs.join(F.broadcast(df) if stats.count() <= BROADCAST_ROWS else df, "term")
+    postings = joined.select(
         "term", "doc_id", "doc_seq", "tf", "tf_title", (F.col("tf") - F.col("tf_title")).alias("tf_body"), "df", "positions",
         F.slice("positions", F.lit(1), F.col("tf_title")).alias("title_positions"), F.slice("positions", F.col("tf_title") + 1, F.col("tf")).alias("body_positions"),
     )
     postings = checkpointed(postings.repartitionByRange("term", "doc_seq").sortWithinPartitions("term", "doc_seq"))
+    documents = checkpointed(by_document(postings))
     sums = registry.agg(F.count("*").alias("n"), F.count(F.when(F.col("token_count") > 0, 1)).alias("full"), F.sum("token_count").alias("tokens")).first()
-    return Index(registry, postings, stats, sums.n, sums.full, int(sums.tokens or 0), fingerprint(corpus))
+    lengths = checkpointed(lengths_of(documents, sums.n))
+    return Index(registry, postings, documents, stats, lengths, sums.n, sums.full, int(sums.tokens or 0), fingerprint_of(read), snapshot(corpus))
+
+
+def by_document(postings: DataFrame) -> DataFrame:
+    """The terms of each document in one row; the ranges serve the grouping, too."""
+    rows = postings.select("doc_id", "doc_seq", F.struct("term", "tf", "tf_title", "tf_body", "df").alias("t")).repartitionByRange("doc_id")
+    return rows.groupBy("doc_id", "doc_seq").agg(F.collect_list("t").alias("terms")).sortWithinPartitions("doc_id")
+
+
+def terms_of(documents: DataFrame) -> DataFrame:
+    """A row for each term of documents (doc_id, doc_seq, terms)."""
+    return documents.select("doc_id", "doc_seq", F.inline("terms"))
+
+
+def lengths_of(documents: DataFrame, n: int) -> DataFrame:
+    """(doc_id, pp, tt, tb, bb): sums over a document's terms of the squared plain weight, and of the products of the weights in title and body."""
+    t, b, p = (damped(F.col(c)) * idf(n, F.col("df")) for c in ("tf_title", "tf_body", "tf"))
+    return terms_of(documents).groupBy("doc_id").agg(*(F.sum(x * y).alias(c) for c, (x, y) in zip(LENGTHS, ((p, p), (t, t), (t, b), (b, b)))))
+
+
+TABLES = ("registry", "postings", "documents", "terms", "lengths")
 
 
 def save(index: Index, path: str) -> None:
     """The index as Parquet tables under ``path``; the row of statistics is written last, and marks it whole."""
-    index.registry.write.mode("overwrite").parquet(f"{path}/registry")
-    index.postings.repartitionByRange("term", "doc_seq").sortWithinPartitions("term", "doc_seq").write.mode("overwrite").parquet(f"{path}/postings")
-    index.term_stats.write.mode("overwrite").parquet(f"{path}/terms")
-    row = [(index.n_docs, index.n_with_tokens, index.total_tokens, index.fingerprint)]
-    index.registry.sparkSession.createDataFrame(row, "n_docs bigint, n_with_tokens bigint, total_tokens bigint, fingerprint string").write.mode("overwrite").parquet(f"{path}/stats")
+    postings = index.postings.repartitionByRange("term", "doc_seq").sortWithinPartitions("term", "doc_seq")
+    for name, table in zip(TABLES, (index.registry, postings, index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), index.term_stats, index.lengths)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    row = [(index.n_docs, index.n_with_tokens, index.total_tokens, index.fingerprint, index.snapshot)]
+    index.registry.sparkSession.createDataFrame(row, "n_docs bigint, n_with_tokens bigint, total_tokens bigint, fingerprint string, snapshot string").write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str, corpus: DataFrame | None = None) -> Index | None:
-    """The index at ``path``; None if it is not there, or if both it and ``corpus`` have a fingerprint and they differ."""
+    """The index at ``path``; None if it is not there, or if ``corpus`` is another one than it was built from.
+
+    The corpus is the same if its files are (path, size, time); only if they are not, or it has none, its rows are
+    read for their fingerprint.  An index or a corpus without a fingerprint is not stale.
+    """
     if not _exists(spark, f"{path}/stats/_SUCCESS"):
         return None
     row = spark.read.parquet(f"{path}/stats").first()
-    if corpus is not None and is_stale(row.fingerprint, fingerprint(corpus)):
+    if corpus is not None and (row.snapshot is None or row.snapshot != snapshot(corpus)) and is_stale(row.fingerprint, fingerprint(corpus)):
         return None
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("registry", "postings", "terms")), row.n_docs, row.n_with_tokens, row.total_tokens, row.fingerprint)
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), row.n_docs, row.n_with_tokens, row.total_tokens, row.fingerprint, row.snapshot)
 
 
 def open_or_build(spark: SparkSession, path: str, corpus: DataFrame, lexicon: DataFrame | None = None) -> Index:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.checkpoints import plain_unions
@@ -86,12 +87,36 @@ def update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return upsert(old, new, key)
 
 
-def fingerprint(rows: DataFrame) -> str | None:
-    """A hash of the rows that depends on neither order nor partitions; None for no rows.
+def digest(columns: list[str]) -> Column:
+    """A hash of a row, whatever the order of its columns."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)
+
+
+def fingerprint_of(digests: DataFrame) -> str | None:
+    """One hash for a column ``digest`` that depends on neither order nor partitions; None for no rows.
 
     Row hashes are added up in four sums of 32-bit parts, so that nothing of the size of the corpus is gathered.
     """
-    digest = F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns)))), 256)
-    parts = [F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
-    row = rows.agg(F.count("*").cast("string").alias("n"), *(p.alias(f"s{i}") for i, p in enumerate(parts))).select("n", F.sha2(F.concat_ws("-", "n", "s0", "s1", "s2", "s3"), 256).alias("h")).first()
+    parts = [F.sum(F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    row = digests.agg(F.count("*").cast("string").alias("n"), *(p.alias(f"s{i}") for i, p in enumerate(parts))).select("n", F.sha2(F.concat_ws("-", "n", "s0", "s1", "s2", "s3"), 256).alias("h")).first()
     return None if row.n == "0" else row.h
+
+
+def fingerprint(rows: DataFrame) -> str | None:
+    """The fingerprint of a table's rows; reads all of them."""
+    return fingerprint_of(rows.select(digest(rows.columns).alias("digest")))
+
+
+def snapshot(rows: DataFrame) -> str | None:
+    """A hash of the files that a table is read from (path, size, time of change) and of what is done with them; None if it has no files."""
+    files = sorted(rows.inputFiles())
+    if not files:
+        return None
+    spark = rows.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    made = hashlib.sha256(f"{rows._jdf.queryExecution().analyzed().canonicalized().toString()} {rows.schema.json()}\n".encode())
+    for name in files:
+        where = path(name)
+        status = where.getFileSystem(conf).getFileStatus(where)
+        made.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return made.hexdigest()
