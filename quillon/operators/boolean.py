@@ -20,6 +20,15 @@ class BooleanParseError(Exception):
     """A query that cannot be parsed."""
 
 
+# What a token of a query is, and the messages of errors.
+TOKEN = r"[()]|[^\s()]+"
+ONLY_STOPWORDS = "Query term {!r} consists only of stopwords — it cannot be matched"
+MISPLACED = "Operator {!r} in unexpected position"
+UNEXPECTED = "Unexpected token: {!r} — check operator placement or parentheses"
+ENDED = "Unexpected end of boolean expression"
+UNCLOSED = "Missing closing parenthesis ')'"
+
+
 @dataclass(frozen=True)
 class Term:
     stems: tuple[str, ...]
@@ -63,7 +72,7 @@ def parse(query: str, analyzer: Analyzer = query_tokens):
         parts = [*alternatives, And(tuple(conjunction)) if len(conjunction) > 1 else conjunction[0]]
         return Or(tuple(parts)) if len(parts) > 1 else parts[0]
 
-    for token in re.findall(r"[()]|[^\s()]+", query):
+    for token in re.findall(TOKEN, query):
         if token == "(":
             stack.append(([], [], 0))
             wants = True
@@ -73,8 +82,8 @@ def parse(query: str, analyzer: Analyzer = query_tokens):
             wants = True
         elif token in ("AND", "OR", ")") and wants:
             if token == ")":
-                raise BooleanParseError(f"Query term {token!r} consists only of stopwords — it cannot be matched")
-            raise BooleanParseError(f"Operator {token!r} in unexpected position")
+                raise BooleanParseError(ONLY_STOPWORDS.format(token))
+            raise BooleanParseError(MISPLACED.format(token))
         elif token == "AND":
             wants = True
         elif token == "OR":
@@ -83,17 +92,17 @@ def parse(query: str, analyzer: Analyzer = query_tokens):
             wants = True
         elif token == ")":
             if len(stack) == 1:
-                raise BooleanParseError(f"Unexpected token: {token!r} — check operator placement or parentheses")
+                raise BooleanParseError(UNEXPECTED.format(token))
             operand(closed(stack.pop()))
         else:
             stems = tuple(analyzer(token))
             if not stems:
-                raise BooleanParseError(f"Query term {token!r} consists only of stopwords — it cannot be matched")
+                raise BooleanParseError(ONLY_STOPWORDS.format(token))
             operand(Term(stems))
     if wants:
-        raise BooleanParseError("Unexpected end of boolean expression")
+        raise BooleanParseError(ENDED)
     if len(stack) > 1:
-        raise BooleanParseError("Missing closing parenthesis ')'")
+        raise BooleanParseError(UNCLOSED)
     return closed(stack[0])
 
 

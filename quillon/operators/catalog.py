@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Kinds of search that a log entry can have.
+LOG_SCHEMA = (
+    "log_id bigint, query_text string, query_mode string, feedback_applied struct<relevant_ids: array<string>, non_relevant_ids: array<string>>, execution_time_ms double, created_at timestamp"
+)
 QUERY_MODES = ("boolean", "vsm", "bm25", "nl_query", "feedback", "prf")
 
 

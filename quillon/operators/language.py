@@ -90,9 +90,13 @@ def parse_question(query: str, analyzer: Callable[[str], list[str]] = query_toke
 def batch_entities(queries: DataFrame, column: str = "query_text") -> DataFrame:
     """``queries`` with ``mode``, ``tradition``, ``region`` and ``tale_type`` as found in each question (null: none), without a Python loop."""
     raw = F.coalesce(F.col(column), F.lit(""))
-    text = F.lower(F.trim(raw))
+
+    def stripped(x: F.Column) -> F.Column:
+        return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    text = stripped(F.lower(raw))
     for i, pattern in enumerate(FILLERS):
-        text = F.trim(F.regexp_replace(text, pattern, "" if i < 3 else " "))
+        text = stripped(F.regexp_replace(text, pattern, "" if i < 3 else " "))
     text = F.regexp_replace(text, r"\s{2,}", " ")
 
     def first(pairs):

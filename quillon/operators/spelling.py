@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.index import Index
@@ -43,3 +43,14 @@ def correct_terms(index: Index, terms: list[str], max_distance: int = 2) -> dict
     missing = index.registry.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
     found = {r.term: r.correction for r in corrections(missing, index.term_stats, max_distance).collect()}
     return {t: found[t] for t in dict.fromkeys(terms) if t in found}
+
+
+def correct_queries(queries: DataFrame, vocabulary: DataFrame, terms: Column, max_distance: int = 2) -> DataFrame:
+    """``queries`` with ``corrected``: the terms (an array column) of each query with their corrections, joined by spaces; null if nothing is corrected."""
+    rows = queries.withColumn("_id", F.monotonically_increasing_id()).withColumn("_terms", terms)
+    fixed = corrections(rows.select(F.explode("_terms").alias("term")), vocabulary, max_distance).select("term", "correction")
+    placed = rows.select("_id", F.posexplode("_terms").alias("place", "term")).join(fixed, "term", "left")
+    whole = placed.groupBy("_id").agg(
+        F.count("correction").alias("changes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("correction", "term").alias("t")))), lambda x: x["t"]), " ").alias("text")
+    )
+    return rows.join(whole, "_id", "left").select(*queries.columns, F.when(F.col("changes") > 0, F.col("text")).alias("corrected"))

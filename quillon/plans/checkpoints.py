@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,16 +35,36 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes, at the end of the block, the tables that operators wrote to the shared folder in it; write results before.
+
+    For a service that runs many of them in one application.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del _written[before:]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and read back from a table written to the shared folder.
 
     Lost executors cost no recomputation, the plan starts anew from a scan of known size, and the
-    files go when the application ends.
+    files go when the application ends, or with the block of :func:`released`.
     """
     spark = df.sparkSession
     plain_unions(spark)
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

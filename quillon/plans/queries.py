@@ -144,13 +144,13 @@ corpus AS (SELECT tale_id AS doc_id, doc_seq, title, raw_text, coalesce(tale_typ
 toks AS (SELECT *, {_terms('title')} AS tt, {_terms('raw_text')} AS bt FROM corpus),
 reg AS (SELECT *, len(tt) + len(bt) AS token_count FROM toks),
 occ AS (SELECT doc_id, doc_seq, len(tt) AS nt, unnest(list_concat(tt, bt)) AS term, unnest(range(len(tt) + len(bt))) AS pos FROM toks),
-pairs AS (SELECT term, doc_id, doc_seq, count(*) AS tf, count(*) FILTER (pos < nt) AS tf_title, count(*) FILTER (pos >= nt) AS tf_body, list_sort(list(pos)) AS positions, any_value(nt) AS nt FROM occ GROUP BY ALL EXCLUDE_DUMMY),
+pairs AS (SELECT term, doc_id, doc_seq, count(*) AS tf, count(*) FILTER (pos < nt) AS tf_title, count(*) FILTER (pos >= nt) AS tf_body, list_sort(list(pos)) AS positions, any_value(nt) AS nt FROM occ GROUP BY term, doc_id, doc_seq),
 dfs AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM pairs GROUP BY term),
 tot AS (SELECT count(*)::DOUBLE AS n, sum(token_count)::DOUBLE / count(*) FILTER (token_count > 0) AS avgdl FROM reg),
 post AS (SELECT p.*, d.df, tot.n, tot.avgdl, ln(1 + tot.n / d.df) AS idf, ln(1 + (tot.n - d.df + 0.5) / (d.df + 0.5)) AS bidf,
     1 + ln(p.tf) AS st, CASE WHEN tf_title > 0 THEN 1 + ln(tf_title) ELSE 0 END AS s_title, CASE WHEN tf_body > 0 THEN 1 + ln(tf_body) ELSE 0 END AS s_body
   FROM pairs p JOIN dfs d USING (term) CROSS JOIN tot)
-""".replace("GROUP BY ALL EXCLUDE_DUMMY", "GROUP BY term, doc_id, doc_seq")
+"""
 
 
 def _q(sql: str, *ctes: str) -> str:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.checkpoints import plain_unions
+from quillon.plans.checkpoints import checkpointed, plain_unions
 
 FIELDS = ("tale_id", "tale_type", "title", "region", "tradition", "source_collection", "translator", "collection_era", "raw_text")
 SCHEMA = ", ".join(f"{c} STRING" for c in FIELDS)
@@ -18,22 +18,36 @@ DEFAULTS = {"tale_type": "UNKNOWN", "region": "Unknown Region", "tradition": "Un
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus file that holds an array of tales or a single one; ``doc_seq`` is the order by tale_id."""
+    """Corpus files that hold an array of tales or a single one; ``doc_seq`` is the order of the files by name, and within a file its own."""
     rows = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
-    return with_sequence(rows)
+    return with_sequence(rows, F.col("_metadata.file_path"))
 
 
-def with_sequence(rows: DataFrame) -> DataFrame:
-    """Rows with a ``doc_seq``, the order by tale_id and then by content, found without one global sort in a task."""
-    ordered = rows.withColumn("_key", F.concat_ws("\u0001", "tale_id", F.sha2(F.to_json(F.struct(*rows.columns)), 256)))
-    ranged = ordered.repartitionByRange("_key").sortWithinPartitions("_key")
-    numbered = ranged.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row for each partition
-    joined = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return joined.select((F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc_seq"), *rows.columns)
+def with_sequence(rows: DataFrame, file: Column | None = None) -> DataFrame:
+    """Rows with a ``doc_seq`` from 0, in the order in which they are stored; with ``file``, that of the files first.
+
+    The rows are written once with the numbers that their tasks give them; of each file, or partition, only
+    the first number and the count are gathered, so that there is no global sort.
+    """
+    number = F.monotonically_increasing_id()
+    numbered = checkpointed(rows.select("*", (F.shiftright(number, 33).cast("string") if file is None else file).alias("_file"), number.alias("_id")))
+    order = F.col("_first") if file is None else F.col("_file")
+    sizes = numbered.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row for each file or partition
+    return numbered.join(starts, "_file").select((F.col("_start") + F.col("_id") - F.col("_first")).alias("doc_seq"), *rows.columns)
+
+
+def in_sequence(parts: list[DataFrame]) -> DataFrame:
+    """Several corpora one behind the other: ``source`` is the place in the list, and ``doc_seq`` goes on from one to the next."""
+    out, begin = None, 0
+    for k, part in enumerate(parts):
+        updated = F.col("updated_at") if "updated_at" in part.columns else F.lit(None)
+        rows = part.select(F.lit(k).alias("source"), (F.col("doc_seq") + F.lit(begin)).alias("doc_seq"), updated.cast("timestamp").alias("updated_at"), *FIELDS)
+        out = rows if out is None else out.unionByName(rows)
+        begin += (part.agg(F.max("doc_seq")).first()[0] or 0) + 1 if k + 1 < len(parts) else 0
+    plain_unions(out.sparkSession)
+    return out
 
 
 @dataclass(frozen=True)
@@ -44,7 +58,7 @@ class Accepted:
     def stats(self) -> dict:
         """Numbers of ingested and skipped rows, and up to ten reasons."""
         reasons = self.rejected.groupBy("reason").count().orderBy("reason").limit(10).collect()
-        skipped = sum(r["count"] for r in reasons)
+        skipped = self.rejected.count()
         return {"documents_ingested": self.rows.count(), "skipped": skipped, "errors": [f"{r['reason']} ({r['count']} rows)" for r in reasons]}
 
 

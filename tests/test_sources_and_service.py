@@ -20,8 +20,12 @@ def test_read_and_accept(spark, tmp_path):
     (tmp_path / "many.json").write_text(json.dumps(rows))
     (tmp_path / "one.json").write_text(json.dumps(rows[0], indent=1))
     many = src.read_json(spark, str(tmp_path / "many.json"))
-    assert [(r.doc_seq, r.tale_id) for r in many.orderBy("doc_seq").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    assert [(r.doc_seq, r.tale_id) for r in many.orderBy("doc_seq").collect()] == [(0, "b"), (1, "a"), (2, "c")]
     assert src.read_json(spark, str(tmp_path / "one.json")).count() == 1
+    both = src.read_json(spark, [str(tmp_path / "one.json"), str(tmp_path / "many.json")])
+    assert [(r.doc_seq, r.tale_id) for r in both.orderBy("doc_seq").collect()] == [(0, "b"), (1, "a"), (2, "c"), (3, "b")]  # files by name
+    plain = src.with_sequence(spark.createDataFrame([(x,) for x in "badcfe"], "tale_id string").repartition(1).repartition(3, "tale_id"))
+    assert sorted(r.doc_seq for r in plain.collect()) == [0, 1, 2, 3, 4, 5]
     accepted = src.accept(many)
     kept = accepted.rows.first()
     assert (kept.tale_id, kept.region, kept.tradition, kept.tale_type, kept.translator) == ("b", "R", "Unknown", "UNKNOWN", "")
@@ -104,11 +108,31 @@ def test_engine_reports(spark, engine):
 
 def test_build_command(spark, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps([{"tale_id": i, "title": t, "raw_text": b} for i, t, b in TALES]))
-    corpus(spark, [("A", "New tiger", "fable")]).write.parquet(f"{tmp_path}/t")
+    again = corpus(spark, [("A", "Later tiger", "fable"), ("A", "New tiger", "fable")]).selectExpr("*", "timestamp_seconds(9 - doc_seq) AS updated_at")
+    again.write.parquet(f"{tmp_path}/t")
     assert build.main(["--index", f"file://{tmp_path}/x", "--report"]) == 1
     assert build.main(["--corpus", f"{tmp_path}/c.json", "--corpus", f"{tmp_path}/t", "--index", f"file://{tmp_path}/x"]) == 0
     assert build.main(["--index", f"file://{tmp_path}/x", "--report"]) == 0
     assert "'documents_ingested': 4" in capsys.readouterr().out
+    title = lambda *sources: {r.tale_id: r.title for r in build.ingest(spark, [f"{tmp_path}/{x}" for x in sources])[0].rows.collect()}["A"]
+    assert (title("c.json", "t"), title("t", "c.json"), title("t")) == ("Later tiger", TALES[0][1], "Later tiger")
+    assert build.ingest(spark, [f"{tmp_path}/no.json"]) == (None, [f"corpus not found: {tmp_path}/no.json"])
+    assert Engine.rebuild(spark, f"file://{tmp_path}/y", [f"{tmp_path}/no.json", f"{tmp_path}/t"])["errors"] == [f"corpus not found: {tmp_path}/no.json"]
+
+
+def test_engine_log_and_samples(spark, tiny, lexicon, tmp_path):
+    engine = Engine(tiny, lexicon, log_path=f"{tmp_path}/log")
+    engine.search_boolean("jackal", limit=1), engine.search_vsm("jackal"), engine.search_bm25("jackal"), engine.search_question("tales about jackal"), engine.pseudo_feedback("jackal"), engine.feedback("jackal", ["B"], [])
+    log = spark.read.parquet(f"{tmp_path}/log").collect()
+    assert sorted(r.query_mode for r in log) == sorted(catalog.QUERY_MODES) and all(r.execution_time_ms > 0 for r in log)
+    assert [r.feedback_applied.relevant_ids for r in log if r.feedback_applied] == [["B"]]
+    page = engine.search_boolean("jackal OR tiger", skip=1, limit=1)
+    assert page["total"] == 3 and len(page["results"]) == 1
+    assert len(engine.evaluate()["per_query"]) == 20 and len(engine.evaluate(modes=("bm25",), query_ids=["Q-01"])["per_query"]) == 1
+    with pytest.raises(FileNotFoundError):
+        engine.evaluate(f"{tmp_path}/none.json")
+    with pytest.raises(ValueError):
+        engine.evaluate(modes=("other",))
 
 
 def test_streams(spark, tmp_path):
@@ -119,7 +143,11 @@ def test_streams(spark, tmp_path):
     ingest.ingest_tales(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", lambda t: seen.append(t.count())).awaitTermination()
     corpus(spark, [("A", "Changed", "x"), ("E", "New", "y"), ("F", None, "z")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     ingest.ingest_tales(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", lambda t: seen.append(t.count())).awaitTermination()
-    assert seen == [4, 5] and spark.read.parquet(f"{tmp_path}/out/version=1").where("tale_id = 'A'").first().title == "Changed"
+    assert seen == [4, 5] and ingest.tales_at(spark, f"{tmp_path}/out").where("tale_id = 'A'").first().title == "Changed"
+    corpus(spark, [("A", "Once more", "x")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.ingest_tales(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", compact_every=3).awaitTermination()
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["base=2"]
+    assert {r.tale_id: r.title for r in ingest.tales_at(spark, f"{tmp_path}/out").collect()}["A"] == "Once more" and ingest.tales_at(spark, f"{tmp_path}/out").count() == 5
 
 
 def test_streamed_counts(spark, tmp_path):
@@ -127,6 +155,8 @@ def test_streamed_counts(spark, tmp_path):
     log.write.parquet(f"{tmp_path}/log")
     counts = ingest.run_once(ingest.log_counts(ingest.log_stream(spark, f"{tmp_path}/log", log.schema)))
     assert sorted(r.requests for r in counts.collect()) == [2, 4, 4]
+    (tmp_path / "none").mkdir()
+    assert ingest.run_once(ingest.log_counts(ingest.log_stream(spark, f"{tmp_path}/none", log.schema))).count() == 0
 
 
 def test_core_without_the_optional_subpackage():
