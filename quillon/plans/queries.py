@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 from quillon.functions.text import STOPWORDS, analyze
 from quillon.operators import bm25, boolean, catalog, divergence, evaluation, feedback, language, lexicon, spelling, vsm
 from quillon.operators import index as ix
+from quillon import build
+from quillon.plans.checkpoints import checkpointed, shared_folder
+from quillon.plans.service import Engine
 from quillon.sources import corpus as src
 from quillon.sources.tables import table
 from quillon.streaming import ingest
 
 _opened: dict[tuple, ix.Index] = {}
+_lexicons: dict[tuple, DataFrame] = {}
 
 QUERY = "jackal and the famine of the merchant"
 TYPE = "tt-0018"
@@ -33,6 +38,92 @@ def index(spark: SparkSession, d: str) -> ix.Index:
     return _opened[key]
 
 
+def lexicon_of(spark: SparkSession, d: str) -> DataFrame:
+    """(form, lemma) by the rules of endings, with the collection's own words as the dictionary."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _lexicons:
+        words = index(spark, d).term_stats.select("term")
+        _lexicons[key] = checkpointed(lexicon.build_lexicon(words.withColumnRenamed("term", "form"), words.withColumnRenamed("term", "lemma")))
+    return _lexicons[key]
+
+
+def lemma_index(spark: SparkSession, d: str) -> ix.Index:
+    """The index by lemmas, built once in an application."""
+    key = (spark.sparkContext.applicationId, d, "lemmas")
+    if key not in _opened:
+        _opened[key] = ix.build_index(tales(spark, d), lexicon_of(spark, d))
+    return _opened[key]
+
+
+def engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(index(spark, d))
+
+
+def lemma_engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(lemma_index(spark, d), lexicon_of(spark, d))
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quillon-query-{uuid.uuid4().hex}"
+
+
+def as_json_files(spark: SparkSession, d: str) -> str:
+    """The tales as JSON files of about a thousand, an array in each, in ingest order by name."""
+    path = f"{new_folder(spark)}.json"
+    rows = table(spark, d, "tales").select(F.format_string("%012d", F.floor(F.col("doc_seq") / 1000)).alias("block"), F.struct("doc_seq", F.struct(*src.FIELDS).alias("tale")).alias("r"))
+    arrays = rows.groupBy("block").agg(F.to_json(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["tale"])).alias("value"))
+    arrays.write.partitionBy("block").text(path)
+    return path
+
+
+def searched(spark: SparkSession, answer: dict) -> DataFrame:
+    """Results of one search of the engine, at most its top_k."""
+    return spark.createDataFrame([(answer["mode"], r["doc_id"], r["score"]) for r in answer["results"]], "mode string, doc_id string, score double")
+
+
+def reloaded(spark: SparkSession, d: str) -> ix.Index:
+    """The index saved, and opened from its files."""
+    path = new_folder(spark)
+    ix.save(index(spark, d), path)
+    return ix.load(spark, path, tales(spark, d))
+
+
+def synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """A table of synonyms in the form of the lexicon, from the motifs of the tale types: what stands before a noun, by place and type."""
+    motifs = table(spark, d, "tale_types").select("tale_type_id", F.posexplode("key_motifs").alias("synset_rank", "motif")).where("motif IS NOT NULL")
+    word = F.split("motif", " ")
+    number = F.regexp_extract("tale_type_id", r"(\d+)$", 1).cast("int")
+    return motifs.where(F.size(word) == 2).select(word[1].alias("term"), F.lit("n").alias("pos"), "synset_rank", number.alias("lemma_rank"), word[0].alias("synonym"))
+
+
+def expanded(spark: SparkSession, d: str) -> DataFrame:
+    found = lexicon.expansions(synonyms(spark, d), list(NOUNS), index(spark, d).term_stats)
+    return spark.createDataFrame([(t, k, w) for t, ws in found.items() for k, w in enumerate(ws)], "term string, place int, synonym string")
+
+
+def parse_outcomes(spark: SparkSession) -> DataFrame:
+    def outcome(q: str) -> str:
+        try:
+            return str(len(boolean.matched_stems(q))) if boolean.parse(q) else ""
+        except boolean.BooleanParseError as e:
+            return str(e)
+
+    return spark.createDataFrame([(q, outcome(q)) for q in BROKEN], "query string, outcome string")
+
+
+def appended_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log's entries of known kinds, added to a new log in two lots."""
+    path, log = new_folder(spark), catalog.delivered_once(table(spark, d, "query_log")).where(F.col("query_mode").isin(*catalog.QUERY_MODES))
+    for late in (False, True):
+        catalog.append_log(log.where((F.col("received_at") > F.col("created_at")) == F.lit(late)), path)
+    return spark.read.parquet(path)
+
+
+NOUNS = ("deer", "road", "king", "tail", "thief", "lamp")
+BROKEN = ("jackal AND (lamp", "jackal AND", "OR jackal", "the AND lamp", "jackal)", "", "NOT", "(jackal lamp) NOT king")
+QUESTIONS = {"nl_boolean": "find tales about jackal but not lamp", "nl_fallback": "jackal but not the jackal and merchant", "nl_vsm": "tell me about the famine of the merchant"}
+
+
 def joined(column: str) -> F.Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column)
 
@@ -89,10 +180,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "centroid_top_terms": lambda s, d: divergence.centroid_terms(index(s, d), TYPE),
     "spelling_corrections": lambda s, d: spelling.corrections(log_terms(s, d), index(s, d).term_stats),
     "nl_batch_entities": lambda s, d: language.batch_entities(table(s, d, "query_log")).select("log_id", "mode", "tradition", "region", "tale_type"),
-    "synonym_expansion": lambda s, d: s.createDataFrame([(t, w) for t, ws in lexicon.expansions(lexicon.synonym_seed(s), ["king", "forest", "clever"], None).items() for w in ws], "term string, synonym string"),
+    "synonym_expansion": expanded,
+    "lexicon_lemmas": lexicon_of,
+    "lemma_postings": lambda s, d: lemma_index(s, d).postings.select("term", "doc_id", "tf", "tf_title", "df", joined("positions")),
+    "lemma_bm25": lambda s, d: searched(s, lemma_engine(s, d).search_bm25("the stolen lamp was found")),
+    "lemma_vsm": lambda s, d: searched(s, lemma_engine(s, d).search_vsm("the stolen lamp was found")),
+    "nl_boolean": lambda s, d: searched(s, engine(s, d).search_question(QUESTIONS["nl_boolean"])),
+    "nl_fallback": lambda s, d: searched(s, engine(s, d).search_question(QUESTIONS["nl_fallback"])),
+    "nl_vsm": lambda s, d: searched(s, engine(s, d).search_question(QUESTIONS["nl_vsm"])),
+    "corrected_queries": lambda s, d: spelling.correct_queries(table(s, d, "query_log").select("log_id", "received_at", "query_text"), index(s, d).term_stats, analyze(F.col("query_text"))).where("corrected IS NOT NULL").select("query_text", "corrected").distinct(),
+    "boolean_matched": lambda s, d: boolean.boolean_search(index(s, d), "jackal OR NOT (lamp famine)").select("doc_id", joined("terms_matched")),
+    "boolean_errors": lambda s, d: parse_outcomes(s),
+    "local_rerank": lambda s, d: feedback.local_rerank(bm25.bm25_search(index(s, d), QUERY, 20), judged(s, d, 0), judged(s, d, 1)).select("doc_id", F.round("score", 6).alias("score")),
+    "index_reloaded": lambda s, d: scores(bm25.bm25_search(reloaded(s, d), QUERY)),
+    "engine_health": lambda s, d: s.createDataFrame([engine(s, d).health(tales(s, d))], "status string, documents bigint, index_stale boolean"),
+    "eval_judged_subset": lambda s, d: evaluation.rounded(evaluation.evaluate(index(s, d), table(s, d, "qrels"), query_ids=["Q-0000002", "Q-0000003"])),
+    "log_appended": lambda s, d: appended_log(s, d).groupBy("query_mode").agg(F.count("*").alias("entries"), F.countDistinct("log_id").alias("ids")),
+    "json_ingest": lambda s, d: src.accept(src.latest(src.read_json(s, as_json_files(s, d)), "tale_id", "doc_seq")).rows.select("doc_seq", "tale_id", "title", "region", "tradition"),
+    "build_two_sources": lambda s, d: build.ingest(s, [as_json_files(s, d), f"{d}/tales.parquet"])[0].rows.select("tale_id", "region", "tradition", "source_collection"),
     "metadata_list_regex": lambda s, d: catalog.list_tales(table(s, d, "tales"), tradition="^riddles|cycle$", region="coast").select("doc_seq", "tale_id", "tradition", "region"),
     "metadata_page": lambda s, d: catalog.page(catalog.list_tales(table(s, d, "tales"), tradition="cycle"), 20, 20)[0].select("doc_seq", "tale_id"),
-    "tale_by_id": lambda s, d: catalog.by_key(table(s, d, "tale_types"), "tale_type_id", "TT-0018").select("tale_type_id", "canonical_title"),
+    "tale_by_id": lambda s, d: catalog.by_key(tales(s, d), "tale_id", first_tale(s, d)).select("tale_id", "title", "tale_type"),
     "tale_types_list": lambda s, d: catalog.list_types(table(s, d, "tale_types")).select("tale_type_id", "atu_code", "canonical_title"),
     "variants_of_type": lambda s, d: catalog.variants_of(table(s, d, "tales"), "TT-0018").select("doc_seq", "tale_id", "tradition"),
     "qrels_list": lambda s, d: catalog.list_qrels(table(s, d, "qrels")).select("query_id", "query_text", F.size("judgments").alias("judgments")),
@@ -111,6 +219,10 @@ def judged(spark: SparkSession, d: str, part: int) -> list[str]:
     return [r.doc_id for r in rows]
 
 
+def first_tale(spark: SparkSession, d: str) -> str:
+    return table(spark, d, "tales").agg(F.min("tale_id")).first()[0]
+
+
 def upserted(spark: SparkSession, d: str) -> DataFrame:
     """Later entries of tales put in place of earlier ones: rows that repeat a tale_id, over the first rows."""
     rows = table(spark, d, "tales").where("tale_id IS NOT NULL")
@@ -157,7 +269,17 @@ def _q(sql: str, *ctes: str) -> str:
     return BASE + "".join(f", {c}\n" for c in ctes) + sql
 
 
-_TERMS = "qt AS (SELECT * FROM (VALUES (0, 'jackal', 1), (1, 'famine', 1), (2, 'merchant', 1)) t(ord, term, qtf))"
+def _asked(*terms: str) -> str:
+    values = ", ".join(f"({i}, '{t}', {terms.count(t)})" for i, t in enumerate(dict.fromkeys(terms)))
+    return f"qt AS (SELECT * FROM (VALUES {values}) t(ord, term, qtf))"
+
+
+_TERMS = _asked("jackal", "famine", "merchant")
+
+
+def _asking(ctes: tuple[str, ...], *terms: str) -> tuple[str, ...]:
+    """The same steps for other terms."""
+    return (_asked(*terms), *ctes[1:])
 
 
 def _vsm(title: float, body: float, k: int, where: str = "TRUE", extra: str = "") -> tuple[str, ...]:
@@ -267,6 +389,33 @@ def _entities() -> str:
         {case((f"regexp_matches(t, 'atu[\\s-]?{n}')", f"ATU-{n}") for n in language.TYPE_NUMBERS)} AS tale_type FROM q"""
 
 
+_NEAR = (
+    f"lt AS (SELECT DISTINCT term FROM (SELECT unnest({_terms('query_text')}) AS term FROM query_log) WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM dfs))",
+    "near AS (SELECT lt.term, d.term AS word, levenshtein(lt.term, d.term) AS distance FROM lt JOIN dfs d ON abs(length(lt.term) - length(d.term)) <= 2 WHERE levenshtein(lt.term, d.term) <= 2)",
+)
+
+
+def _detached(source: str, endings) -> str:
+    """Forms that the endings make of a word, the word itself first."""
+    made = ", ".join(f"CASE WHEN ends_with({source}, '{a}') AND length({source}) > {len(a)} THEN left({source}, -{len(a)}) || '{b}' END" for a, b in endings)
+    return f"[{source}, {made}]"
+
+
+_LEXICON = (
+    f"nc AS (SELECT term AS form, unnest({_detached('term', lexicon.NOUN_ENDINGS)}) AS lemma, unnest(range({len(lexicon.NOUN_ENDINGS) + 1})) AS k FROM dfs)",
+    "no AS (SELECT form, arg_min(lemma, k) AS noun FROM nc WHERE lemma IN (SELECT term FROM dfs) GROUP BY form)",
+    f"vc AS (SELECT form, unnest({_detached('noun', lexicon.VERB_ENDINGS)}) AS lemma, unnest(range({len(lexicon.VERB_ENDINGS) + 1})) AS k FROM no)",
+    "ve AS (SELECT form, arg_min(lemma, k) AS verb FROM vc WHERE lemma IN (SELECT term FROM dfs) GROUP BY form)",
+    "ir AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in lexicon.IRREGULAR.items()) + ") t(form, irregular))",
+    "lexi AS (SELECT form, coalesce(irregular, verb) AS lemma FROM ve LEFT JOIN ir USING (form) WHERE coalesce(irregular, verb) <> form)",
+)
+#: The base again, with the terms of the occurrences replaced by their lemmas.
+_TAIL = BASE[BASE.index("pairs AS") :]
+LEMMA_BASE = (
+    BASE[: BASE.index("pairs AS")] + "dfs0 AS (SELECT term, count(DISTINCT doc_id) AS df FROM occ GROUP BY term), " + ", ".join(_LEXICON).replace("dfs", "dfs0")
+    + ", occ2 AS (SELECT doc_id, doc_seq, nt, coalesce(lemma, term) AS term, pos FROM occ LEFT JOIN lexi ON lexi.form = occ.term), " + _TAIL.replace("FROM occ GROUP", "FROM occ2 GROUP")
+)
+
 ORACLES: dict[str, str] = {
     "bm25_topk": _q("SELECT doc_id, round(exact, 6) AS score FROM bm", *_bm25(1.5, 0.75, 1.5, 10)),
     "bm25_params_filters": _q("SELECT doc_id, round(exact, 6) AS score FROM bm", *_bm25(1.2, 0.5, 3.0, 20, "contains(lower(source_collection), 'papers') AND contains(lower(region), 'coast')")),
@@ -317,13 +466,42 @@ ORACLES: dict[str, str] = {
     "centroid_top_terms": _q("SELECT term, round(sum(w) / (SELECT count(*) FROM dv), 6) AS weight FROM dw GROUP BY term ORDER BY weight DESC, term LIMIT 20", *_DIV[:2]),
     "spelling_corrections": _q(
         "SELECT term, min(word) AS correction, any_value(distance)::INT AS distance FROM (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM near) WHERE distance = least GROUP BY term HAVING any_value(distance) < 2 OR count(*) = 1",
-        f"lt AS (SELECT DISTINCT term FROM (SELECT unnest({_terms('query_text')}) AS term FROM query_log) WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM dfs))",
-        "near AS (SELECT lt.term, d.term AS word, levenshtein(lt.term, d.term) AS distance FROM lt JOIN dfs d ON abs(length(lt.term) - length(d.term)) <= 2 WHERE levenshtein(lt.term, d.term) <= 2)",
+        *_NEAR,
     ),
     "nl_batch_entities": _entities(),
     "metadata_list_regex": "SELECT doc_seq, tale_id, tradition, region FROM tales WHERE regexp_matches(tradition, '(?i)^riddles|cycle$') AND regexp_matches(region, '(?i)coast')",
     "metadata_page": "SELECT doc_seq, tale_id FROM tales WHERE regexp_matches(tradition, '(?i)cycle') ORDER BY created_at DESC NULLS LAST, doc_seq DESC LIMIT 20 OFFSET 20",
-    "tale_by_id": "SELECT tale_type_id, canonical_title FROM tale_types WHERE tale_type_id = 'TT-0018'",
+    "tale_by_id": BASE + "SELECT doc_id AS tale_id, title, tale_type FROM corpus WHERE doc_id = (SELECT min(tale_id) FROM tales)",
+    "synonym_expansion": _q(
+        f"""SELECT term, (row_number() OVER (PARTITION BY term ORDER BY k) - 1)::INT AS place, synonym FROM kept WHERE k <= 3 AND synonym NOT IN ({', '.join(f"'{x}'" for x in NOUNS)}) AND synonym IN (SELECT term FROM dfs)""",
+        "mo AS (SELECT tale_type_id, unnest(key_motifs) AS motif, unnest(range(len(key_motifs))) AS synset FROM tale_types)",
+        "sy AS (SELECT split_part(motif, ' ', 2) AS term, split_part(motif, ' ', 1) AS synonym, min((synset, regexp_extract(tale_type_id, '(\\d+)$', 1)::INT)) AS place FROM mo WHERE synset < 3 AND len(string_split(motif, ' ')) = 2 AND regexp_full_match(lower(split_part(motif, ' ', 1)), '[a-z]+') GROUP BY 1, 2)",
+        f"""kept AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY place, synonym) AS k FROM sy WHERE term IN ({', '.join(f"'{x}'" for x in NOUNS)}) AND term <> synonym)""",
+    ),
+    "lexicon_lemmas": _q("SELECT form, lemma FROM lexi", *_LEXICON),
+    "lemma_postings": LEMMA_BASE + "SELECT term, doc_id, tf::INT AS tf, tf_title::INT AS tf_title, df::INT AS df, array_to_string(positions, ',') AS positions FROM post",
+    "lemma_bm25": LEMMA_BASE + ", ".join(["", *_asking(_bm25(1.5, 0.75, 1.5, 10), "steal", "lamp", "find")]) + " SELECT 'bm25' AS mode, doc_id, round(exact, 6) AS score FROM bm",
+    "lemma_vsm": LEMMA_BASE + ", ".join(["", *_asking(_vsm(0.35, 0.65, 10), "steal", "lamp", "find")]) + " SELECT 'vsm' AS mode, doc_id, round(exact, 6) AS score FROM vsm",
+    "nl_boolean": "SELECT 'nl_query' AS mode, doc_id, score FROM (" + _boolean(["jackal", "lamp"], "jackal_ AND NOT lamp_") + ") ORDER BY score DESC, doc_id LIMIT 10",
+    "nl_fallback": _q("SELECT 'vsm_fallback' AS mode, doc_id, round(exact, 6) AS score FROM vsm", *_asking(_vsm(2.0, 1.0, 10), "jackal", "jackal", "merchant")),
+    "nl_vsm": _q("SELECT 'nl_query' AS mode, doc_id, round(exact, 6) AS score FROM vsm", *_asking(_vsm(2.0, 1.0, 10), "famine", "merchant")),
+    "corrected_queries": _q(
+        "SELECT DISTINCT query_text, corrected FROM (SELECT query_text, string_agg(coalesce(correction, term), ' ' ORDER BY place) AS corrected, count(correction) AS changes FROM lw LEFT JOIN co USING (term) GROUP BY query_text) WHERE changes > 0",
+        *_NEAR,
+        "co AS (SELECT term, min(word) AS correction FROM (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM near) WHERE distance = least GROUP BY term HAVING any_value(distance) < 2 OR count(*) = 1)",
+        f"lw AS (SELECT query_text, unnest({_terms('query_text')}) AS term, unnest(range(len({_terms('query_text')}))) AS place FROM (SELECT DISTINCT query_text FROM query_log))",
+    ),
+    "boolean_matched": _q(
+        "SELECT r.doc_id, coalesce(array_to_string(list_sort(list(p.term) FILTER (p.term IS NOT NULL)), ','), '') AS terms_matched FROM reg r LEFT JOIN (SELECT * FROM post WHERE term IN ('jackal', 'lamp', 'famine')) p USING (doc_id) GROUP BY r.doc_id HAVING coalesce(bool_or(term = 'jackal'), FALSE) OR NOT (coalesce(bool_or(term = 'lamp'), FALSE) AND coalesce(bool_or(term = 'famine'), FALSE))"
+    ),
+    "boolean_errors": "SELECT * FROM (VALUES ('jackal AND (lamp', 'Missing closing parenthesis ' || chr(39) || ')' || chr(39)), ('jackal AND', 'Unexpected end of boolean expression'), ('OR jackal', 'Operator ''OR'' in unexpected position'), ('the AND lamp', 'Query term ''the'' consists only of stopwords — it cannot be matched'), ('jackal)', 'Unexpected token: '')'' — check operator placement or parentheses'), ('', 'Unexpected end of boolean expression'), ('NOT', 'Unexpected end of boolean expression'), ('(jackal lamp) NOT king', '3')) t(query, outcome)",
+    "local_rerank": _q("SELECT doc_id, round(round(exact, 6) + CASE WHEN doc_id IN (SELECT doc_id FROM ids WHERE k <= 3) THEN 0.15 WHEN doc_id IN (SELECT doc_id FROM ids WHERE k BETWEEN 4 AND 6) THEN -0.2 ELSE 0 END, 6) AS score FROM bm", *_bm25(1.5, 0.75, 1.5, 20), _JUDGED),
+    "index_reloaded": _q("SELECT doc_id, round(exact, 6) AS score FROM bm", *_bm25(1.5, 0.75, 1.5, 10)),
+    "engine_health": _q("SELECT 'ok' AS status, count(*) AS documents, FALSE AS index_stale FROM reg"),
+    "eval_judged_subset": _q("SELECT * FROM ev WHERE query_id IN ('Q-0000002', 'Q-0000003')", *_EVAL),
+    "log_appended": "SELECT query_mode, count(*) AS entries, count(DISTINCT log_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY received_at, created_at) AS k FROM query_log) WHERE k = 1 AND query_mode IN ('boolean', 'vsm', 'bm25', 'nl_query', 'feedback', 'prf') AND received_at IS NOT NULL AND created_at IS NOT NULL GROUP BY query_mode",
+    "json_ingest": "WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_seq) - 1 AS place FROM tales), l AS (SELECT *, row_number() OVER (PARTITION BY tale_id ORDER BY place DESC) AS k FROM n WHERE tale_id IS NOT NULL) SELECT place AS doc_seq, tale_id, title, coalesce(region, 'Unknown Region') AS region, coalesce(tradition, 'Unknown') AS tradition FROM l WHERE k = 1 AND title IS NOT NULL AND raw_text IS NOT NULL",
+    "build_two_sources": BASE + "SELECT doc_id AS tale_id, region, tradition, source_collection FROM corpus",
     "tale_types_list": "SELECT tale_type_id, atu_code, canonical_title FROM tale_types",
     "variants_of_type": "SELECT doc_seq, tale_id, tradition FROM tales WHERE tale_type = 'TT-0018'",
     "qrels_list": "SELECT query_id, query_text, len(judgments)::INT AS judgments FROM qrels",
