@@ -58,9 +58,9 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(LookupError):
         catalog.by_key(tales, "tale_id", "Z")
     assert catalog.variants_of(tales, "t").count() == 0 and catalog.variants_of(tales, "T").count() == 4
-    types = spark.createDataFrame([("T", "ATU-1", "The Tiger", None), ("U", "ATU-0", None, "a tiger")], "tale_type_id string, atu_code string, canonical_title string, description string")
-    assert [r.tale_type_id for r in catalog.browse_types(tales, types, "tiger").collect()] == ["U", "T"]
-    assert [r.tale_type_id for r in catalog.browse_types(tales, types, "tiger", "CYCLE").collect()] == ["T"]
+    types = spark.createDataFrame([("T", "ATU-1", "The Bell", None), ("U", "ATU-0", None, "a bell")], "tale_type_id string, atu_code string, canonical_title string, description string")
+    assert [r.tale_type_id for r in catalog.browse_types(tales, types, "bell").collect()] == ["U", "T"]
+    assert [r.tale_type_id for r in catalog.browse_types(tales, types, "bell", "CYCLE").collect()] == ["T"]
     results = spark.createDataFrame([("1", "T", "Unknown Region"), ("", "T", ""), ("2", " ", "")], "doc_id string, title string, region string")
     assert [tuple(r) for r in catalog.clean_results(results).collect()] == [("1", "T", "")]
     log = spark.createDataFrame([(1, "vsm", 5.0, 1, 1), (1, "vsm", 5.0, 1, 2), (2, "vsm", -1.0, 2, 2), (3, "bm25", None, 3, 3)], "log_id long, query_mode string, execution_time_ms double, created_at int, received_at int")
@@ -78,24 +78,24 @@ def engine(spark, tiny, lexicon):
     return Engine(tiny, lexicon, synonym_seed(spark))
 
 
-def test_engine_searches(engine):
-    assert engine.search_boolean("jackals AND NOT tiger")["results"][0]["doc_id"] == "D"
-    assert engine.search_vsm("jackal")["results"][0]["score"] == 0.586538 and engine.search_vsm("jackel", auto_correct=True)["corrections"] == {"jackel": "jackal"}
-    assert engine.search_bm25("jackal")["results"][0]["engine"] == "bm25"
+def test_engine_searches(engine, by_hand):
+    assert engine.search_boolean("hammers AND NOT bell")["results"][0]["doc_id"] == "D"
+    assert engine.search_vsm("hammer")["results"][0]["score"] == by_hand.vsm(["hammer"], 0.35, 0.65)[0][1] and engine.search_vsm("hammar", auto_correct=True)["corrections"] == {"hammar": "hammer"}
+    assert engine.search_bm25("hammer")["results"][0]["engine"] == "bm25"
     with pytest.raises(ValueError):
-        engine.search_vsm("jackal", zone_weights={"title": -1})
+        engine.search_vsm("hammer", zone_weights={"title": -1})
     with pytest.raises(BooleanParseError):
         engine.search_boolean("the")
-    assert engine.feedback("jackal", ["B"], ["A"])["results"][0]["score"] == 0.939882 and engine.pseudo_feedback("jackal")["total"] == 3
+    assert engine.feedback("hammer", ["B"], ["A"])["results"][0]["score"] == by_hand.rocchio(["hammer"], ["B"], ["A"])[0][1] and engine.pseudo_feedback("hammer")["total"] == len(by_hand.rocchio(["hammer"], ["B", "D"], []))
 
 
 def test_engine_questions(engine):
-    assert engine.search_question("jackal but not tiger")["mode"] == "nl_query"
-    assert engine.search_question("tiger with lion AND jackal but not zebra")["mode"] == "vsm_fallback"
-    found = engine.search_question("find tales about tiger", auto_correct=True)
-    assert found["mode"] == "nl_query" and found["parsed"].normalized == "tiger" and found["total"] == 2
-    assert engine.search_question("shrewd jackal", expand_synonyms=True)["synonyms_applied"] == {}
-    assert engine.search_question("jackal from Punjab")["total"] == 0
+    assert engine.search_question("hammer but not bell")["mode"] == "nl_query"
+    assert engine.search_question("bell with bread AND hammer but not zebra")["mode"] == "vsm_fallback"
+    found = engine.search_question("find tales about bell", auto_correct=True)
+    assert found["mode"] == "nl_query" and found["parsed"].normalized == "bell" and found["total"] == 2
+    assert engine.search_question("shrewd hammer", expand_synonyms=True)["synonyms_applied"] == {}
+    assert engine.search_question("hammer from Punjab")["total"] == 0
 
 
 def test_engine_reports(spark, engine):
@@ -108,25 +108,25 @@ def test_engine_reports(spark, engine):
 
 def test_build_command(spark, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps([{"tale_id": i, "title": t, "raw_text": b} for i, t, b in TALES]))
-    again = corpus(spark, [("A", "Later tiger", "fable"), ("A", "New tiger", "fable")]).selectExpr("*", "timestamp_seconds(9 - doc_seq) AS updated_at")
+    again = corpus(spark, [("A", "Later bell", "fable"), ("A", "New bell", "fable")]).selectExpr("*", "timestamp_seconds(9 - doc_seq) AS updated_at")
     again.write.parquet(f"{tmp_path}/t")
     assert build.main(["--index", f"file://{tmp_path}/x", "--report"]) == 1
     assert build.main(["--corpus", f"{tmp_path}/c.json", "--corpus", f"{tmp_path}/t", "--index", f"file://{tmp_path}/x"]) == 0
     assert build.main(["--index", f"file://{tmp_path}/x", "--report"]) == 0
     assert "'documents_ingested': 4" in capsys.readouterr().out
     title = lambda *sources: {r.tale_id: r.title for r in build.ingest(spark, [f"{tmp_path}/{x}" for x in sources])[0].rows.collect()}["A"]
-    assert (title("c.json", "t"), title("t", "c.json"), title("t")) == ("Later tiger", TALES[0][1], "Later tiger")
+    assert (title("c.json", "t"), title("t", "c.json"), title("t")) == ("Later bell", TALES[0][1], "Later bell")
     assert build.ingest(spark, [f"{tmp_path}/no.json"]) == (None, [f"corpus not found: {tmp_path}/no.json"])
     assert Engine.rebuild(spark, f"file://{tmp_path}/y", [f"{tmp_path}/no.json", f"{tmp_path}/t"])["errors"] == [f"corpus not found: {tmp_path}/no.json"]
 
 
 def test_engine_log_and_samples(spark, tiny, lexicon, tmp_path):
     engine = Engine(tiny, lexicon, log_path=f"{tmp_path}/log")
-    engine.search_boolean("jackal", limit=1), engine.search_vsm("jackal"), engine.search_bm25("jackal"), engine.search_question("tales about jackal"), engine.pseudo_feedback("jackal"), engine.feedback("jackal", ["B"], [])
+    engine.search_boolean("hammer", limit=1), engine.search_vsm("hammer"), engine.search_bm25("hammer"), engine.search_question("tales about hammer"), engine.pseudo_feedback("hammer"), engine.feedback("hammer", ["B"], [])
     log = spark.read.parquet(f"{tmp_path}/log").collect()
     assert sorted(r.query_mode for r in log) == sorted(catalog.QUERY_MODES) and all(r.execution_time_ms > 0 for r in log)
     assert [r.feedback_applied.relevant_ids for r in log if r.feedback_applied] == [["B"]]
-    page = engine.search_boolean("jackal OR tiger", skip=1, limit=1)
+    page = engine.search_boolean("hammer OR bell", skip=1, limit=1)
     assert page["total"] == 3 and len(page["results"]) == 1
     assert len(engine.evaluate()["per_query"]) == 20 and len(engine.evaluate(modes=("bm25",), query_ids=["Q-01"])["per_query"]) == 1
     with pytest.raises(FileNotFoundError):

@@ -36,7 +36,7 @@ def test_snippet(spark):
 
 
 def test_lemmas(spark, lexicon):
-    assert lemmas_of(lexicon, ["jackals", "tricked", "feet", "lion"]) == ["jackal", "trick", "foot", "lion"]
+    assert lemmas_of(lexicon, ["hammers", "lifted", "feet", "bell"]) == ["hammer", "lift", "foot", "bell"]
     forms = spark.createDataFrame([(w,) for w in ("jackals", "tricked", "feet", "stories", "sleeping", "glass", "prowls")], "form string")
     words = spark.createDataFrame([(w,) for w in ("jackal", "trick", "foot", "story", "sleep", "glass", "prowl")], "lemma string")
     assert dict(map(tuple, build_lexicon(forms, words).collect())) == {"jackals": "jackal", "tricked": "trick", "feet": "foot", "stories": "story", "sleeping": "sleep", "prowls": "prowl"}
@@ -52,20 +52,24 @@ def test_expansions(spark):
     assert expansions(seed.limit(0), ["clever"]) == {} and expansions(seed, []) == {}
 
 
-def test_postings(tiny):
+def test_postings(tiny, by_hand):
     rows = {(r.term, r.doc_id): r for r in tiny.postings.collect()}
-    assert rows["tiger", "A"].title_positions == [0] and rows["tiger", "A"].body_positions == [2]
-    assert rows["tiger", "B"].positions == [1, 4] and rows["tiger", "B"].df == 2
-    assert {r.term: r.df for r in tiny.term_stats.collect() if r.df > 1} == {"jackal": 2, "tiger": 2, "fable": 2}
-    assert tiny.n_docs == 4 and tiny.avgdl == 4.5
-    assert tiny.document_frequencies(["tiger", "zebra"]) == {"tiger": 2}
-    assert ix.top_terms(tiny, 2).collect()[0].term == "jackal"
-
-
-def test_registry_reads(tiny):
+    assert {k: (r.tf_title, r.tf_body, r.df) for k, r in rows.items()} == {(w, i): (t[w], b[w], by_hand.df[w]) for i, (t, b) in by_hand.zones.items() for w in t | b}
+    assert rows["bell", "A"].title_positions == [1] and rows["bell", "A"].body_positions == [4]
+    assert rows["hammer", "B"].positions == [1, 4] and rows["cross", "A"].positions == [6]
+    assert {r.term: r.df for r in tiny.term_stats.collect()} == by_hand.df
+    assert tiny.n_docs == 4 and tiny.avgdl == by_hand.avgdl
+    assert tiny.document_frequencies(["bell", "zebra"]) == {"bell": 2}
+    assert [r.term for r in ix.top_terms(tiny, 2).collect()] == ["bell", "hammer"]
+    vectors = {(r.doc_id, r.term): r.weight for r in tiny.document_vector("A", "C", "none").collect()}
+    assert vectors == {(i, w): pytest.approx(x) for i in "AC" for w, x in by_hand.plain(i).items()}
+
+
+def test_registry_reads(tiny, by_hand):
     assert ix.variants(tiny, "t").count() == 4
     assert [tuple(r) for r in ix.tale_types(tiny).collect()] == [("T", 4)]
-    assert ix.status(tiny).first().asDict() == {"documents": 4, "tokens": 18, "tale_types": 1, "traditions": 1, "regions": 1, "terms": 10, "postings": 13}
+    sizes = {"tokens": sum(c.total() for c in by_hand.tf.values()), "terms": len(by_hand.df), "postings": sum(by_hand.df.values())}
+    assert ix.status(tiny).first().asDict() == {"documents": 4, "tale_types": 1, "traditions": 1, "regions": 1, **sizes}
 
 
 def test_store(spark, tmp_path, lexicon):
@@ -74,7 +78,7 @@ def test_store(spark, tmp_path, lexicon):
     built = ix.open_or_build(spark, path, docs, lexicon)
     again = ix.load(spark, path, docs)
     assert again.fingerprint == built.fingerprint and again.n_docs == 4 and again.postings.count() == built.postings.count()
-    changed = corpus(spark, [*TALES[:3], ("D", "Jackal tale", "another story")])
+    changed = corpus(spark, [*TALES[:3], ("D", "Hammer of frost", "Another smith.")])
     assert ix.load(spark, path, changed) is None
     assert ix.open_or_build(spark, path, changed).fingerprint != built.fingerprint
     assert not ix.is_stale(None, "x") and not ix.is_stale("x", None) and ix.is_stale("x", "y")
@@ -93,7 +97,22 @@ def test_empty_documents_and_index(spark):
     assert none.n_docs == 0 and none.fingerprint is None and none.avgdl == 1.0
 
 
-def test_norms(tiny):
-    norms = {r.doc_id: r.norm for r in tiny.norms().collect()}
-    two, one = math.log(1 + 4 / 2), math.log(1 + 4)
-    assert norms["A"] == pytest.approx(math.sqrt(((1 + math.log(2)) * two) ** 2 + two**2 + one**2))
+def test_norms(tiny, by_hand):
+    for weights, vector in (((), by_hand.plain), ((2.0, 1.0), lambda i: by_hand.zoned(i, 2, 1)), ((0.0, 3.0), lambda i: by_hand.zoned(i, 0, 3))):
+        norms = {r.doc_id: r.norm for r in tiny.norms(*weights).collect()}
+        assert norms == {i: pytest.approx(math.sqrt(sum(x * x for x in vector(i).values()))) for i in "ABCD"}
+
+
+def test_index_is_known_by_its_files(spark, tmp_path, lexicon):
+    corpus(spark, TALES).write.parquet(f"{tmp_path}/tales")
+    rows, path = spark.read.parquet(f"{tmp_path}/tales"), f"file://{tmp_path}/index"
+    ix.open_or_build(spark, path, rows, lexicon)
+    stored = ix.load(spark, path)
+    assert stored.snapshot is not None and stored.snapshot == ix.snapshot(spark.read.parquet(f"{tmp_path}/tales")) != ix.snapshot(rows.limit(3))
+    assert ix.load(spark, path, rows) is not None and ix.load(spark, path, rows.repartition(2)) is not None and ix.load(spark, path, rows.limit(3)) is None
+
+
+def test_scans_of_terms_and_documents_are_filtered(tiny):
+    for df, column in ((tiny.of_terms(["bell"]), "term"), (tiny.of_documents(["A"]), "doc_id")):
+        plan = df._jdf.queryExecution().toString()
+        assert f"EqualTo({column}," in plan or f"In({column}," in plan

@@ -46,7 +46,7 @@ def test_corrections_are_complete(spark, vocabulary):
 
 
 def test_correct_terms(tiny):
-    assert correct_terms(tiny, ["jackel", "tiger", "jackel", "lyon"]) == {"jackel": "jackal", "lyon": "lion"} and correct_terms(tiny, []) == {}
+    assert correct_terms(tiny, ["hammar", "bell", "hammar", "bred"]) == {"hammar": "hammer", "bred": "bread"} and correct_terms(tiny, []) == {}
 
 
 def test_fillers():
@@ -88,9 +88,9 @@ def test_metrics(spark):
 
 
 def test_evaluation(spark, tmp_path):
-    index = build_index(corpus(spark, [("A", "Tiger fable", "the tiger prowls"), ("B", "Jackal and tiger", "a jackal and the tiger"), ("C", "Lion", "the lion")]))
+    index = build_index(corpus(spark, [("A", "Kite weather", "the kite would not rise"), ("B", "Otter with kite", "an otter held that kite"), ("C", "Mill", "a mill stood")]))
     path = tmp_path / "q.json"
-    path.write_text('{"qrels": [{"query_id": "1", "query_text": "jackal tiger", "judgments": [{"tale_id": "B", "relevance_score": 3}, {"tale_id": "Z", "relevance_score": 2}]}, {"query_id": "2", "query_text": "lion", "judgments": [{"tale_id": "Z", "relevance_score": 1}]}]}')
+    path.write_text('{"qrels": [{"query_id": "1", "query_text": "otter kite", "judgments": [{"tale_id": "B", "relevance_score": 3}, {"tale_id": "Z", "relevance_score": 2}]}, {"query_id": "2", "query_text": "mill", "judgments": [{"tale_id": "Z", "relevance_score": 1}]}]}')
     qrels = read_qrels(spark, str(path))
     assert qrels.count() == 2
     assert sorted(map(tuple, phantoms(qrels, index).collect())) == [("1", 1), ("2", 1)]
