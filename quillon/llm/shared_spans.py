@@ -60,13 +60,13 @@ class Hashes:
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of x[s : s + w] for every s, by prefix and suffix minima of blocks."""
-    n = len(x)
-    full = -(-n // w) * w
-    block = np.append(x, np.full(full - n, NONE, np.uint64)).reshape(-1, w)
-    ahead = np.minimum.accumulate(block, axis=1).ravel()
-    back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
+    """Least of x[s : s + w] for every s, over windows of doubling width."""
+    low, width = x, 1
+    while 2 * width <= w:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    n = len(x) - w + 1
+    return np.minimum(low[:n], low[w - width : w - width + n])
 
 
 def anchors(cps: np.ndarray, off: np.ndarray, least: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashes | None]:
@@ -80,7 +80,6 @@ def anchors(cps: np.ndarray, off: np.ndarray, least: int, salt: int) -> tuple[np
     h = hashes.runs(np.arange(len(cps) - k + 1), k) ^ np.uint64(salt)
     row = np.repeat(np.arange(len(size)), size + 1)
     end = (off[1:] - 1)[row[: len(h)]]
-    h = mix(h)
     h = np.where((np.arange(len(h)) + k <= end) & (size[row[: len(h)]] >= least), h, NONE)
     low = _sliding_least(h, w)
     low = np.where(np.arange(len(low)) + least <= end[: len(low)], low, NONE)
