@@ -417,8 +417,8 @@ def shared_spans(tales: DataFrame, least: dict[str, int], hot: int = HOT) -> Dat
             break
         low, high = high, 3 * high
     span, behind = (F.element_at(F.array(*(F.lit(v) for v in values)), F.col("f") + 1) for values in (sizes, [x - x // 2 + 1 for x in sizes]))
-    reach = runs.groupBy("piece", "begin").agg(F.max("end").alias("reach"))
-    last = runs.join(reach, ["piece", "begin"]).where(F.col("end") > F.col("reach") - span).select("key").distinct()
+    reach = F.max("end").over(Window.partitionBy("piece", "begin"))  # at most the anchors of a piece
+    last = runs.withColumn("reach", reach).where(F.col("end") > F.col("reach") - span).select("key").distinct()
     members = runs.join(last, "key", "left_semi").select("key", "tale", "piece", "f", "begin", "end").distinct()
     members = checkpointed(members.join(pieces.select("piece", "text"), "piece").select("key", "tale", "piece", "f", "begin", "end", F.substring("text", F.col("end") + 1, behind).alias("right")))
     crowded = members.groupBy("key").count().where(F.col("count") > hot).select("key")
