@@ -1,11 +1,12 @@
 """The same results as SQL for DuckDB, by other ways: brute force over words, windows and pairs.
 
-p2, p3_spans, p7_ids and p9 are not here: mapping free entries has rules that SQL could only repeat, maximal spans and
-token ids are compared with brute force and with the tokenizers library in the tests, and the robust fit is no SQL.
+p3_spans, p7_ids and p9 are not here: maximal spans and token ids are compared with brute force and with the tokenizers
+library in the tests, and the robust fit is no SQL. p2 has the same rules for whole values, but no pigeonhole join under them.
 """
 
 from __future__ import annotations
 
+from quillon.llm.canonical import ACCENTED, PLAIN, SHARED, Conventions
 from quillon.llm.codepoints import INVISIBLE, LOOKALIKES, SPACES, wide
 
 _DEVA = r"[\x{0900}-\x{097F}\x{A8E0}-\x{A8FF}]"
@@ -85,7 +86,53 @@ cut AS (SELECT doc_id, len(js) AS removed_words, js, len(w) AS n, regexp_extract
 _LEFT = rf"""head || array_to_string(list_transform(range(n), lambda j: CASE WHEN NOT list_contains(js, j) THEN parts[j + 1] WHEN j = n - 1 THEN regexp_extract(parts[n], '[^{_WORD}]*$') ELSE '' END), '')"""
 
 
+def _canonical(fields: tuple[str, ...], c: Conventions) -> str:
+    """Every word of a value held against every word of the list, where the operator joins segments."""
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    fold = lambda x: rf"regexp_replace(translate(lower({x}), '{ACCENTED}', '{PLAIN}'), '\p{{M}}', '', 'g')"
+    remarks = "|".join(f"({x})" for x in c.remarks)
+    key = "word"
+    for a, b in c.spellings:
+        key = f"replace({key}, '{a}', '{b}')"
+    once = f"array_to_string(list_transform(range(1, length({key}) + 1), lambda i: CASE WHEN i > 1 AND substr({key}, i, 1) = substr({key}, i - 1, 1) THEN '' ELSE substr({key}, i, 1) END), '')"
+    letters = "array_to_string(list_sort(string_split({}.form, '')), '')".format
+    stacked = " UNION ALL ".join(f"SELECT doc_seq, '{f}' AS field, {f} AS value FROM tales" for f in fields)
+    return rf"""WITH stacked AS (SELECT * FROM ({stacked}) WHERE regexp_matches(value, '[^\s\p{{Z}}]')),
+entered AS (SELECT DISTINCT field, value, regexp_replace(regexp_replace({fold('value')}, '[\s\p{{Z}}_-]+', ' ', 'g'), '{remarks}', ' ', 'g') AS folded
+  FROM stacked s WHERE NOT EXISTS (SELECT 1 FROM canonical_values v WHERE v.field = s.field AND v.canonical = s.value)),
+names AS (SELECT DISTINCT value_id, field, {fold('name')} AS name FROM (SELECT value_id, field, unnest(list_concat([canonical], coalesce(also_known_as, []))) AS name FROM canonical_values) WHERE name IS NOT NULL AND value_id IS NOT NULL),
+nw0 AS (SELECT DISTINCT * FROM (SELECT value_id, field, name, unnest(regexp_extract_all(name, '[\p{{L}}\p{{N}}]+')) AS word FROM names) WHERE word NOT IN ({quoted(c.noise)})),
+name_words AS (SELECT *, word IN (SELECT word FROM nw0 GROUP BY word HAVING count(DISTINCT value_id) >= {SHARED}) AS general FROM nw0),
+tokens AS (SELECT field, value, unnest(t) AS token, unnest(range(len(t))) AS place FROM (SELECT field, value, regexp_extract_all(folded, '[\p{{L}}\p{{N}}]+\.?') AS t FROM entered)),
+value_words AS (SELECT field, value, place, replace(token, '.', '') AS word, ends_with(token, '.') AS dot FROM tokens WHERE replace(token, '.', '') NOT IN ({quoted(c.noise)})),
+lf AS (SELECT DISTINCT field, word, general, 0 AS kind, word AS form FROM name_words UNION SELECT DISTINCT field, word, general, 1, {once} FROM name_words),
+list_forms AS (SELECT *, CASE WHEN length(form) <= 3 THEN 0 WHEN length(form) <= 5 THEN 1 WHEN length(form) <= 6 THEN 2 ELSE 3 END AS k FROM lf),
+value_forms AS (SELECT DISTINCT field, word, dot, 0 AS kind, word AS form FROM value_words UNION SELECT DISTINCT field, word, dot, 1, {once} FROM value_words),
+pairs AS (SELECT v.field, v.word AS entered, v.dot, v.kind, v.form AS a, l.form AS b, l.word, l.general, l.k, levenshtein(v.form, l.form) AS distance, {letters('v')} AS la, {letters('l')} AS lb
+  FROM value_forms v JOIN list_forms l ON v.field = l.field AND v.kind = l.kind),
+found AS (
+  SELECT field, entered, dot, word, general, distance FROM pairs WHERE distance <= k AND (distance <= 2 OR NOT general AND levenshtein(la, lb) < distance)
+  UNION ALL SELECT field, entered, dot, word, general, 0 FROM pairs WHERE dot AND length(a) >= CASE WHEN general THEN 1 ELSE 3 END AND starts_with(b, a)
+  UNION ALL SELECT field, entered, dot, word, general, 0 FROM pairs WHERE general AND kind = 0 AND length(a) >= 3 AND left(a, 1) = left(b, 1) AND right(a, 1) = right(b, 1) AND regexp_matches(b, '^' || array_to_string(string_split(a, ''), '.*'))
+  UNION ALL SELECT DISTINCT field, v.word, dot, o.word, TRUE, 0 FROM value_forms v JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in c.signs.items())}) o(sign, word) ON v.word = o.sign
+  UNION ALL SELECT field, entered, dot, word, general, distance FROM pairs WHERE kind = 0 AND la = lb AND length(a) >= 5 AND distance <= 4),
+nearest AS (SELECT field, entered, dot, word, general, min(distance) AS distance FROM found GROUP BY ALL),
+meant AS (SELECT * FROM (SELECT *, min(distance) OVER (PARTITION BY field, entered, dot, general) AS least FROM nearest) WHERE distance = least OR NOT general),
+whole AS (SELECT field, value, count(*) AS words FROM value_words GROUP BY ALL),
+sized AS (SELECT field, value_id, name, count(*) AS words FROM name_words GROUP BY ALL),
+by_name AS (SELECT DISTINCT v.field, v.value, n.value_id, n.name FROM value_words v JOIN meant m ON v.field = m.field AND v.word = m.entered AND v.dot = m.dot AND NOT m.general JOIN name_words n ON m.field = n.field AND m.word = n.word AND NOT n.general),
+covered AS (SELECT b.field, b.value, b.value_id, b.name, v.place, min(m.distance) AS distance, arg_min(n.word, (m.distance, n.word)) AS word
+  FROM by_name b JOIN value_words v ON b.field = v.field AND b.value = v.value JOIN meant m ON v.field = m.field AND v.word = m.entered AND v.dot = m.dot
+  JOIN name_words n ON b.field = n.field AND b.value_id = n.value_id AND b.name = n.name AND m.word = n.word GROUP BY ALL),
+scored AS (SELECT c.field, c.value, c.value_id, min((c.distance, s.words - c.words)) AS score
+  FROM (SELECT field, value, value_id, name, count(*) AS words, count(DISTINCT word) AS kinds, sum(distance) AS distance FROM covered GROUP BY ALL) c
+  JOIN whole w ON c.field = w.field AND c.value = w.value AND c.words = w.words AND c.kinds = c.words JOIN sized s ON c.field = s.field AND c.value_id = s.value_id AND c.name = s.name GROUP BY ALL),
+matches AS (SELECT field, value, min(value_id) AS value_id FROM (SELECT *, rank() OVER (PARTITION BY field, value ORDER BY score) AS place FROM scored) WHERE place = 1 GROUP BY field, value HAVING count(*) = 1)
+SELECT s.doc_seq, s.field, coalesce(m.value_id, 0) AS value_id FROM stacked s JOIN entered e ON s.field = e.field AND s.value = e.value LEFT JOIN matches m ON s.field = m.field AND s.value = m.value"""
+
+
 ORACLES = {
+    "p2_found": _canonical(("region", "tradition", "source_collection"), Conventions()),
     "p1_found": f"WITH {_PAIRS} SELECT a AS tale_id_a, b AS tale_id_b FROM pairs",
     "p1_groups": f"""WITH RECURSIVE {_PAIRS},
 edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
