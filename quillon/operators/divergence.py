@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.weights import plain
+from quillon.operators.evaluation import batch_cosine
 from quillon.operators.index import Index, terms_of, variants
 
 
@@ -40,6 +41,18 @@ def pair_scores(index: Index, tale_type: str) -> DataFrame:
     )
 
 
+def nearest_variants(index: Index, tale_type: str, k: int = 5) -> DataFrame:
+    """(doc_id, other, cosine, place): of each variant the ``k`` others most like it (ties by doc_id); those without a common term are left out.
+
+    No pairs are made: the variants are scored against each other in blocks.
+    """
+    own = index.documents.join(variants(index, tale_type).select("doc_id"), "doc_id", "left_semi")
+    vectors = terms_of(own).select(F.col("doc_id").alias("query_id"), "term", plain(index.n_docs).alias("q"))
+    best = batch_cosine(index, vectors, k + 1, documents=own).where("query_id <> doc_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return best.select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("other"), F.col("score").alias("cosine"), place.alias("place")).where(F.col("place") <= k)
+
+
 def rounded(pairs: DataFrame) -> DataFrame:
     """cosine and jaccard to 4 places, vocabulary overlap in per cent to 2."""
     return pairs.select("seq_a", "seq_b", "doc_a", "doc_b", F.round("cosine", 4).alias("cosine"), F.round("jaccard", 4).alias("jaccard"), F.round(F.col("jaccard") * 100, 2).alias("overlap"))

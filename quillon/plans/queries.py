@@ -177,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "divergence_matrix": lambda s, d: divergence.rounded(divergence.pair_scores(index(s, d), TYPE)).select("doc_a", "doc_b", "cosine", "jaccard", "overlap"),
     "divergence_summary": lambda s, d: divergence.summary(divergence.pair_scores(index(s, d), TYPE)),
     "divergence_heat": lambda s, d: divergence.symmetric(divergence.rounded(divergence.pair_scores(index(s, d), TYPE))).groupBy("doc_a", "heat").agg(F.count("*").alias("pairs")),
+    "divergence_nearest": lambda s, d: divergence.nearest_variants(index(s, d), TYPE).select("doc_id", "other", "cosine", "place"),
     "centroid_top_terms": lambda s, d: divergence.centroid_terms(index(s, d), TYPE),
     "spelling_corrections": lambda s, d: spelling.corrections(log_terms(s, d), index(s, d).term_stats),
     "nl_batch_entities": lambda s, d: language.batch_entities(table(s, d, "query_log")).select("log_id", "mode", "tradition", "region", "tale_type"),
@@ -463,6 +464,7 @@ ORACLES: dict[str, str] = {
     "divergence_matrix": _q("SELECT doc_a, doc_b, round(cosine, 4) AS cosine, round(jaccard, 4) AS jaccard, round(100 * jaccard, 2) AS overlap FROM dp", *_DIV),
     "divergence_summary": _q("SELECT count(*) AS pairs, round(avg(cosine), 4) AS mean, round(min(cosine), 4) AS least, round(max(cosine), 4) AS greatest, first(doc_a ORDER BY round(cosine, 4) DESC, seq_a, seq_b) AS similar_a, first(doc_b ORDER BY round(cosine, 4) DESC, seq_a, seq_b) AS similar_b, first(doc_a ORDER BY round(cosine, 4), seq_a, seq_b) AS divergent_a, first(doc_b ORDER BY round(cosine, 4), seq_a, seq_b) AS divergent_b FROM dp", *_DIV),
     "divergence_heat": _q("SELECT doc_a, heat, count(*) AS pairs FROM (SELECT doc_a, CASE WHEN round(cosine, 4) > 0.5 THEN 'high' WHEN round(cosine, 4) > 0.25 THEN 'mid' ELSE 'low' END AS heat FROM (SELECT doc_a, cosine FROM dp UNION ALL SELECT doc_b, cosine FROM dp)) GROUP BY ALL", *_DIV),
+    "divergence_nearest": _q("SELECT * FROM (SELECT doc_id, other, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, other)::INT AS place FROM (SELECT doc_a AS doc_id, doc_b AS other, round(cosine, 6) AS cosine FROM dp UNION ALL SELECT doc_b, doc_a, round(cosine, 6) FROM dp) WHERE cosine > 0) WHERE place <= 5", *_DIV),
     "centroid_top_terms": _q("SELECT term, round(sum(w) / (SELECT count(*) FROM dv), 6) AS weight FROM dw GROUP BY term ORDER BY weight DESC, term LIMIT 20", *_DIV[:2]),
     "spelling_corrections": _q(
         "SELECT term, min(word) AS correction, any_value(distance)::INT AS distance FROM (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM near) WHERE distance = least GROUP BY term HAVING any_value(distance) < 2 OR count(*) = 1",

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from quillon.functions.text import query_tokens
 from quillon.operators.bm25 import bm25_search
 from quillon.operators.boolean import And, BooleanParseError, Not, Or, Term, boolean_search, matched_stems, parse, upper_operators
-from quillon.operators.divergence import divergence, symmetric
+from quillon.operators.divergence import divergence, nearest_variants, symmetric
 from quillon.operators.feedback import local_rerank, pseudo_feedback, rocchio
 from quillon.operators.index import build_index
 from quillon.operators.vsm import vsm_search
@@ -151,6 +151,9 @@ def test_divergence_by_hand(tiny, by_hand):
     most = min(pairs, key=lambda p: (-round(cosines[p], 4), p))
     assert (s.similar_a, s.similar_b, s.divergent_a, s.divergent_b, s.pairs) == (*most, *least, 6)
     assert s.mean == pytest.approx(sum(cosines.values()) / 6, abs=1e-4)
+    near = {(r.doc_id, r.place): (r.other, r.cosine) for r in nearest_variants(tiny, "T", 1).collect()}
+    best = {a: max((round(x, 6), {*p} - {a}) for p, x in cosines.items() if a in p and x > 0) for a in "ABD"}
+    assert near == {(a, 1): (*other, x) for a, (x, other) in best.items()}
     both = symmetric(d.matrix).collect()
     assert len(both) == 12 and {r.heat for r in both} == {"high" if x > 0.5 else "mid" if x > 0.25 else "low" for x in cosines.values()}
     weights = {w: sum(by_hand.plain(i).get(w, 0) for i in "ABCD") / 4 for w in by_hand.df}

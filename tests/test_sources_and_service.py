@@ -10,6 +10,7 @@ from quillon import build
 from quillon.operators import catalog
 from quillon.operators.boolean import BooleanParseError
 from quillon.operators.lexicon import synonym_seed
+from quillon.plans.checkpoints import checkpointed, released
 from quillon.plans.service import Engine
 from quillon.sources import corpus as src
 from quillon.streaming import ingest
@@ -120,6 +121,16 @@ def test_build_command(spark, tmp_path, capsys):
     assert Engine.rebuild(spark, f"file://{tmp_path}/y", [f"{tmp_path}/no.json", f"{tmp_path}/t"])["errors"] == [f"corpus not found: {tmp_path}/no.json"]
 
 
+def test_tables_are_released(spark):
+    there = lambda df: all(Path(f.removeprefix("file://")).exists() for f in df.inputFiles())
+    kept = checkpointed(spark.range(3))
+    with released(spark):
+        gone = checkpointed(spark.range(5))
+        files = gone.inputFiles()
+        assert gone.count() == 5 and there(gone) and files
+    assert not any(Path(f.removeprefix("file://")).exists() for f in files) and there(kept) and kept.count() == 3
+
+
 def test_engine_log_and_samples(spark, tiny, lexicon, tmp_path):
     engine = Engine(tiny, lexicon, log_path=f"{tmp_path}/log")
     engine.search_boolean("hammer", limit=1), engine.search_vsm("hammer"), engine.search_bm25("hammer"), engine.search_question("tales about hammer"), engine.pseudo_feedback("hammer"), engine.feedback("hammer", ["B"], [])
