@@ -111,7 +111,7 @@ def build_index(corpus: DataFrame, lexicon: DataFrame | None = None) -> Index:
     """
     ship(corpus.sparkSession)
     tokens = F.concat("_t", "_b")
-    read = corpus.select(F.col("tale_id").alias("doc_id"), "doc_seq", *META, snippet(F.col("raw_text")).alias("snippet"), digest(corpus.columns).alias("digest"), analyze(F.col("title")).alias("_t"), analyze(F.col("raw_text")).alias("_b"))
+    read = corpus.select(F.col("tale_id").alias("doc_id"), "doc_seq", *META, snippet(F.col("raw_text")).alias("snippet"), digest(corpus).alias("digest"), analyze(F.col("title")).alias("_t"), analyze(F.col("raw_text")).alias("_b"))
     read = checkpointed(read.select("doc_id", "doc_seq", *META, F.size(tokens).alias("token_count"), "snippet", "digest", F.size("_t").alias("in_title"), tokens.alias("tokens")))
     registry = read.drop("digest", "in_title", "tokens")
     kind = read.schema["doc_seq"].dataType.simpleString()

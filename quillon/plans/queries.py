@@ -119,6 +119,27 @@ def appended_log(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def staleness(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a stored index opens for the corpus it was built from, for the same rows in other files, and for fewer rows."""
+    path, rows = new_folder(spark), tales(spark, d)
+    ix.save(index(spark, d), path)
+    cases = {"same": rows, "copied": checkpointed(rows), "fewer": rows.where("tradition <> 'Unknown'")}
+    return spark.createDataFrame([(k, ix.load(spark, path, v) is not None) for k, v in cases.items()], "corpus string, opens boolean")
+
+
+def rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    stats = Engine.rebuild(spark, new_folder(spark), [f"{d}/tales.parquet", f"{d}/none.json"])
+    return spark.createDataFrame([(stats["documents_ingested"], stats["skipped"], stats["terms_indexed"], len(stats["errors"]))], "documents bigint, skipped bigint, terms bigint, errors int")
+
+
+def renamed(spark: SparkSession, d: str) -> DataFrame:
+    """Tales without a tradition updated with one, and one new tale inserted."""
+    rows = src.latest(table(spark, d, "tales")).select("tale_id", "region", "tradition")
+    changed = rows.where("tradition IS NULL").withColumn("tradition", F.lit("of no tradition"))
+    new = spark.createDataFrame([("NEW-1", None, "new")], rows.schema)
+    return src.insert(src.update(rows, changed, "tale_id"), new, "tale_id")
+
+
 NOUNS = ("deer", "road", "king", "tail", "thief", "lamp")
 BROKEN = ("jackal AND (lamp", "jackal AND", "OR jackal", "the AND lamp", "jackal)", "", "NOT", "(jackal lamp) NOT king")
 QUESTIONS = {"nl_boolean": "find tales about jackal but not lamp", "nl_fallback": "jackal but not the jackal and merchant", "nl_vsm": "tell me about the famine of the merchant"}
@@ -190,6 +211,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nl_fallback": lambda s, d: searched(s, engine(s, d).search_question(QUESTIONS["nl_fallback"])),
     "nl_vsm": lambda s, d: searched(s, engine(s, d).search_question(QUESTIONS["nl_vsm"])),
     "corrected_queries": lambda s, d: spelling.correct_queries(table(s, d, "query_log").select("log_id", "received_at", "query_text"), index(s, d).term_stats, analyze(F.col("query_text"))).where("corrected IS NOT NULL").select("query_text", "corrected").distinct(),
+    "nl_corrected": lambda s, d: searched(s, engine(s, d).search_question("find tales about jackel and merchnt", auto_correct=True)),
+    "api_boolean": lambda s, d: searched(s, engine(s, d).search_boolean("jackal OR crocodile", skip=5, limit=10)),
+    "api_bm25": lambda s, d: searched(s, engine(s, d).search_bm25(QUERY, 20, 1.2, 0.5, 3.0, "papers", "coast")),
+    "api_vsm": lambda s, d: searched(s, engine(s, d).search_vsm(QUERY, 20)),
+    "api_feedback": lambda s, d: searched(s, engine(s, d).feedback(QUERY, judged(s, d, 0), judged(s, d, 1))),
+    "api_prf": lambda s, d: searched(s, engine(s, d).pseudo_feedback(QUERY)),
+    "sample_phantoms": lambda s, d: evaluation.phantoms(evaluation.sample_qrels(s), index(s, d)),
+    "index_staleness": staleness,
+    "index_rebuilt": rebuilt,
+    "updated_tales": renamed,
     "boolean_matched": lambda s, d: boolean.boolean_search(index(s, d), "jackal OR NOT (lamp famine)").select("doc_id", joined("terms_matched")),
     "boolean_errors": lambda s, d: parse_outcomes(s),
     "local_rerank": lambda s, d: feedback.local_rerank(bm25.bm25_search(index(s, d), QUERY, 20), judged(s, d, 0), judged(s, d, 1)).select("doc_id", F.round("score", 6).alias("score")),
@@ -396,6 +427,10 @@ _NEAR = (
 )
 
 
+#: The columns of the accepted tales, by name, and what is hashed of them.
+_DIGEST = sorted([*((c, c) for c in src.FIELDS if c != "tale_id"), ("tale_id", "doc_id"), ("doc_seq", "doc_seq::VARCHAR"), *((c, f"epoch_us({c})::VARCHAR") for c in ("created_at", "updated_at"))])
+
+
 def _detached(source: str, endings) -> str:
     """Forms that the endings make of a word, the word itself first."""
     made = ", ".join(f"CASE WHEN ends_with({source}, '{a}') AND length({source}) > {len(a)} THEN left({source}, -{len(a)}) || '{b}' END" for a, b in endings)
@@ -493,6 +528,20 @@ ORACLES: dict[str, str] = {
         "co AS (SELECT term, min(word) AS correction FROM (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM near) WHERE distance = least GROUP BY term HAVING any_value(distance) < 2 OR count(*) = 1)",
         f"lw AS (SELECT query_text, unnest({_terms('query_text')}) AS term, unnest(range(len({_terms('query_text')}))) AS place FROM (SELECT DISTINCT query_text FROM query_log))",
     ),
+    "nl_corrected": _q("SELECT 'nl_query' AS mode, doc_id, round(exact, 6) AS score FROM vsm", *_asking(_vsm(2.0, 1.0, 10), "jackal", "merchant")),
+    "api_boolean": "SELECT 'boolean' AS mode, doc_id, score FROM (" + _boolean(["jackal", "crocodile"], "jackal_ OR crocodile_") + ") ORDER BY score DESC, doc_id LIMIT 10 OFFSET 5",
+    "api_bm25": _q("SELECT 'bm25' AS mode, doc_id, round(exact, 6) AS score FROM bm", *_bm25(1.2, 0.5, 3.0, 20, "contains(lower(source_collection), 'papers') AND contains(lower(region), 'coast')")),
+    "api_vsm": _q("SELECT 'vsm' AS mode, doc_id, round(exact, 6) AS score FROM vsm", *_vsm(0.35, 0.65, 20)),
+    "api_feedback": _q("SELECT 'rocchio' AS mode, doc_id, round(exact, 6) AS score FROM re", _TERMS, _JUDGED, *_rerank("SELECT doc_id FROM ids WHERE k <= 3", "SELECT doc_id FROM ids WHERE k BETWEEN 4 AND 6")),
+    "api_prf": _q("SELECT 'prf' AS mode, doc_id, round(exact, 6) AS score FROM re", *_vsm(2.0, 1.0, 3), *_rerank("SELECT doc_id FROM vsm", None)),
+    "sample_phantoms": "SELECT * FROM (VALUES ('Q-01', 4::BIGINT), ('Q-02', 5), ('Q-03', 6), ('Q-04', 3), ('Q-05', 3)) t(query_id, dropped)",
+    "index_staleness": "SELECT * FROM (VALUES ('same', TRUE), ('copied', TRUE), ('fewer', FALSE)) t(corpus, opens)",
+    "index_rebuilt": _q("SELECT (SELECT count(*) FROM reg) AS documents, (SELECT count(*) FROM last WHERE title IS NULL OR raw_text IS NULL) AS skipped, (SELECT count(*) FROM dfs) AS terms, (SELECT 1 + count(DISTINCT (title IS NULL, raw_text IS NULL)) FROM last WHERE title IS NULL OR raw_text IS NULL)::INT AS errors"),
+    "updated_tales": BASE + "SELECT tale_id, region, coalesce(tradition, 'of no tradition') AS tradition FROM last UNION ALL SELECT 'NEW-1', NULL, 'new'",
+    "corpus_fingerprint": _q(
+        "SELECT sha256(concat_ws('-', count(*), " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT)::VARCHAR" for i in range(4)) + ")) AS fingerprint FROM di",
+        "di AS (SELECT sha256(concat_ws(chr(31), " + ", ".join(f"'{c}=' || coalesce(':' || {x}, '')" for c, x in _DIGEST) + ")) AS h FROM corpus JOIN (SELECT tale_id, created_at, updated_at FROM last) ON tale_id = doc_id)",
+    ),
     "boolean_matched": _q(
         "SELECT r.doc_id, coalesce(array_to_string(list_sort(list(p.term) FILTER (p.term IS NOT NULL)), ','), '') AS terms_matched FROM reg r LEFT JOIN (SELECT * FROM post WHERE term IN ('jackal', 'lamp', 'famine')) p USING (doc_id) GROUP BY r.doc_id HAVING coalesce(bool_or(term = 'jackal'), FALSE) OR NOT (coalesce(bool_or(term = 'lamp'), FALSE) AND coalesce(bool_or(term = 'famine'), FALSE))"
     ),

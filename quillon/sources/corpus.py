@@ -101,9 +101,15 @@ def update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return upsert(old, new, key)
 
 
-def digest(columns: list[str]) -> Column:
-    """A hash of a row, whatever the order of its columns."""
-    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)
+def digest(rows: DataFrame) -> Column:
+    """A hash of a row, whatever the order of its columns: of each column its name and value, a null told from a text."""
+    def shown(c: str, kind: str) -> Column:
+        if kind == "timestamp":
+            return F.unix_micros(c).cast("string")
+        return F.to_json(F.col(c)) if kind.startswith(("array", "struct", "map")) else F.col(c).cast("string")
+
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit(":"), shown(c, kind)), F.lit(""))) for c, kind in sorted(rows.dtypes)]
+    return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
 def fingerprint_of(digests: DataFrame) -> str | None:
@@ -118,7 +124,7 @@ def fingerprint_of(digests: DataFrame) -> str | None:
 
 def fingerprint(rows: DataFrame) -> str | None:
     """The fingerprint of a table's rows; reads all of them."""
-    return fingerprint_of(rows.select(digest(rows.columns).alias("digest")))
+    return fingerprint_of(rows.select(digest(rows).alias("digest")))
 
 
 def snapshot(rows: DataFrame) -> str | None:

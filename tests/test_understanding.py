@@ -1,7 +1,7 @@
 import pytest
 from conftest import corpus
 
-from quillon.operators.evaluation import best_mode, current, evaluate, judgments, macro_average, metrics, phantoms, pivoted, read_qrels, retrieve, rounded
+from quillon.operators.evaluation import batch_cosine, best_mode, current, evaluate, judgments, macro_average, metrics, phantoms, pivoted, read_qrels, retrieve, rounded
 from quillon.operators.index import build_index
 from quillon.operators.language import batch_entities, parse_question, strip_fillers
 from quillon.operators.spelling import correct_terms, corrections
@@ -103,3 +103,16 @@ def test_evaluation(spark, tmp_path):
     assert {r.map for r in macro_average(per_query).collect()} == {0.5} and best_mode(macro_average(per_query)).first().mode == "bm25"
     assert pivoted(per_query).where("query_id = '1'").first().vsm_ndcg == 1
     assert evaluate(index, qrels, ("bm25",), ["2"]).count() == 1 and retrieve(index, qrels.limit(0).selectExpr("query_id", "query_text AS term", "1L AS qtf"), ("other",)).count() == 0
+
+
+@pytest.mark.parametrize("block", [2000, 1])
+def test_long_queries_in_blocks(tiny, by_hand, block):
+    vectors = [("q1", w, x) for w, x in by_hand.plain("A").items()] + [("q2", w, x) for w, x in by_hand.plain("D").items()] + [("q3", "absent", 1.0)]
+    df = tiny.registry.sparkSession.createDataFrame(vectors, "query_id string, term string, q double")
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in batch_cosine(tiny, df, 2, block).collect()}
+    expected = {}
+    for q, i in (("q1", "A"), ("q2", "D")):
+        found = sorted((-round(x, 6), j) for j, x in by_hand.cosines(by_hand.plain(i), by_hand.plain).items())
+        expected |= {(q, k + 1): (j, -x) for k, (x, j) in enumerate(found[:2])}
+    assert got == expected
+    assert batch_cosine(tiny, df.limit(0), 2).count() == 0
