@@ -1,7 +1,6 @@
 """The same results as SQL for DuckDB, by other ways: brute force over words, windows and pairs.
 
-p3_spans, p7_ids and p9 are not here: maximal spans and token ids are compared with brute force and with the tokenizers
-library in the tests, and the robust fit is no SQL. p2 has the same rules for whole values, but no pigeonhole join under them.
+p7_ids and p9 are not here: token ids are compared with the tokenizers library in the tests, and the robust fit is no SQL. p2 has the same rules for whole values, but no pigeonhole join under them.
 """
 
 from __future__ import annotations
@@ -39,13 +38,25 @@ _FORMS = (
 )
 _ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tale_id ORDER BY doc_seq) AS k FROM tales WHERE tale_id IS NOT NULL AND doc_seq IS NOT NULL) WHERE k = 1)"
 
-_PAIRS = f"""
-texts AS (SELECT DISTINCT tale_id, raw_text FROM tales WHERE tale_id IS NOT NULL AND raw_text IS NOT NULL),
-words AS (SELECT tale_id, {_words(_form('raw_text'))} AS w FROM texts),
-grams AS (SELECT DISTINCT tale_id, array_to_string(w[i + 1:i + 3], ' ') AS gram FROM (SELECT tale_id, w, unnest(range(len(w) - 2)) AS i FROM words)),
-sizes AS (SELECT tale_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS name FROM grams GROUP BY tale_id),
-common AS (SELECT a.tale_id AS a, b.tale_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.tale_id < b.tale_id GROUP BY ALL),
-pairs AS (SELECT a, b FROM common JOIN sizes x ON x.tale_id = a JOIN sizes y ON y.tale_id = b WHERE 3 * c >= x.n + y.n)"""
+def _pairs(table: str, key: str, text: str, n: int, p: int, q: int) -> str:
+    return f"""
+texts AS (SELECT DISTINCT {key} AS id, {text} AS value FROM {table} WHERE {key} IS NOT NULL AND {text} IS NOT NULL),
+words AS (SELECT id, {_words(_form('value'))} AS w FROM texts),
+grams AS (SELECT DISTINCT id, array_to_string(w[i + 1:i + {n}], ' ') AS gram FROM (SELECT id, w, unnest(range(len(w) - {n - 1})) AS i FROM words)),
+sizes AS (SELECT id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS name FROM grams GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT a, b FROM common JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE {p + q} * c >= {p} * (x.n + y.n))"""
+
+
+def _groups(pairs: str, key: str) -> str:
+    return f"""WITH RECURSIVE {pairs},
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT id AS k, id AS m FROM sizes UNION SELECT r.k, e.b FROM reach r JOIN edges e ON r.m = e.a),
+groups AS (SELECT k, min(m) AS group_id FROM reach GROUP BY k),
+links AS (SELECT a, count(DISTINCT y.name) AS links FROM edges JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE x.name <> y.name GROUP BY a)
+SELECT id AS {key}, min(id) OVER (PARTITION BY name) AS class_id, group_id, count(*) OVER (PARTITION BY name) AS copies, coalesce(links, 0) AS links
+FROM sizes JOIN groups ON k = id LEFT JOIN links ON a = id"""
+
 
 _WINDOWS = """
 texts AS (SELECT DISTINCT 'raw_text' AS field, 150 AS least, tale_id, raw_text AS value FROM tales WHERE tale_id IS NOT NULL
@@ -133,16 +144,16 @@ SELECT s.doc_seq, s.field, coalesce(m.value_id, 0) AS value_id FROM stacked s JO
 
 ORACLES = {
     "p2_found": _canonical(("region", "tradition", "source_collection"), Conventions()),
-    "p1_found": f"WITH {_PAIRS} SELECT a AS tale_id_a, b AS tale_id_b FROM pairs",
-    "p1_groups": f"""WITH RECURSIVE {_PAIRS},
-edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-reach AS (SELECT tale_id AS k, tale_id AS m FROM sizes UNION SELECT r.k, e.b FROM reach r JOIN edges e ON r.m = e.a),
-groups AS (SELECT k, min(m) AS group_id FROM reach GROUP BY k),
-links AS (SELECT a, count(DISTINCT y.name) AS links FROM edges JOIN sizes x ON x.tale_id = a JOIN sizes y ON y.tale_id = b WHERE x.name <> y.name GROUP BY a)
-SELECT tale_id, min(tale_id) OVER (PARTITION BY name) AS class_id, group_id, count(*) OVER (PARTITION BY name) AS copies, coalesce(links, 0) AS links
-FROM sizes JOIN groups ON k = tale_id LEFT JOIN links ON a = tale_id""",
+    "p1_found": f"WITH {_pairs('tales', 'tale_id', 'raw_text', 3, 1, 2)} SELECT a AS tale_id_a, b AS tale_id_b FROM pairs",
+    "p1_groups": _groups(_pairs("tales", "tale_id", "raw_text", 3, 1, 2), "tale_id"),
+    "p1_documents": _groups(_pairs("documents", "doc_id", "text", 5, 4, 5), "doc_id"),
     "p3_found": f"WITH {_WINDOWS} SELECT DISTINCT field, tale_id FROM amounts",
     "p3_amounts": f"WITH {_WINDOWS} SELECT field, tale_id, sum(size)::BIGINT AS size, sum(shared)::BIGINT AS shared FROM amounts GROUP BY field, tale_id",
+    "p3_spans": f"""WITH {_WINDOWS},
+pairs AS (SELECT a.field, a.least, a.tale_id, a.value, a.i, b.tale_id AS other, b.value AS text, a.i - b.i AS shift FROM windows a JOIN windows b ON a.field = b.field AND a.w = b.w AND a.tale_id <> b.tale_id),
+placed AS (SELECT *, i - row_number() OVER (PARTITION BY field, tale_id, value, other, text, shift ORDER BY i) AS run FROM pairs),
+runs AS (SELECT DISTINCT field, tale_id, value, start, stop FROM (SELECT field, tale_id, value, min(i) AS start, max(i) + any_value(least) AS stop FROM placed GROUP BY field, tale_id, value, other, text, shift, run))
+SELECT field, tale_id, start::INT AS start, stop::INT AS stop FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.field = r.field AND o.tale_id = r.tale_id AND o.value = r.value AND o.start <= r.start AND o.stop >= r.stop AND (o.start < r.start OR o.stop > r.stop))""",
     "p4_found": f"WITH {_TERMS} SELECT tale_id, term FROM pairs JOIN terms USING (term) WHERE tf >= 3 AND df <= 6",
     "p4_top": f"WITH {_SCORES} SELECT tale_id, term, tf, df AS texts, cf AS occurrences, n, round(logp, 4) AS log_p, round(greatest(0, -least(logp + shift, least)), 3) AS score FROM best JOIN adjust USING (bin) WHERE place <= 5",
     "p5_found": f"SELECT doc_seq, field FROM ({_FORMS}) WHERE value <> form",
