@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.codepoints import BASE, chunks, decode, encode, mix
 from quillon.plans.checkpoints import checkpointed
 
-#: Bits of the anchor table: 16 for each shared anchor, at most this power of two (32 MB); a full table only lets more occurrences pass.
+#: Bits of the anchor table: 16 for each shared anchor, at most this power of two (32 MB); with more anchors than that texts and anchors are joined instead.
 MOST_BITS = 28
 #: Anchors and classes with more occurrences are extended by counting hashes.
 HOT = 1000
@@ -149,16 +149,37 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
 
 
-def _piece_rows(batches, least: list[int], shared: _Table):
-    """The pieces of each text around its shared anchors: ``start`` in the text, and the places of the anchors in the piece."""
+def _anchor_rows(batches, least: list[int]):
+    """The anchors of each text, by the text's code."""
+    for batch in batches:
+        code = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b in chunks(*batch.columns[1:]):
+            for k, size in enumerate(least):
+                _, row, h, _ = anchors(*decode(batch.column(1 + k).slice(a, b - a)), size, _salt(k))
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([_signed(h), pa.array(code[a + row])], ["anchor", "code"])
+
+
+def _known(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
+    """The shared anchors that a batch lists for its rows a:b, each with its row."""
+    values, ends = _flat_list(batch.column(batch.num_columns - 1).slice(a, b - a))
+    return mix(np.repeat(np.arange(b - a), np.diff(ends)).astype(np.uint64)) ^ values.view(np.uint64)
+
+
+def _piece_rows(batches, least: list[int], shared: _Table | None):
+    """The pieces of each text around its shared anchors: ``start`` in the text, and the places of the anchors in the piece.
+
+    Which anchors are shared says the table, or, without one, a last column with a list for each row.
+    """
     names = ["piece", "record", "tale", "tale_id", "f", "size", "start", "text", "places", "anchors"]
     for batch in batches:
         tale, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        for a, b in chunks(*batch.columns[2:]):
+        for a, b in chunks(*batch.columns[2 : 2 + len(least)]):
+            known = None if shared else np.sort(_known(batch, a, b))
             for k, size in enumerate(least):
                 cps, off = decode(batch.column(2 + k).slice(a, b - a))
                 at, row, h, hashes = anchors(cps, off, size, _salt(k))
-                keep = shared.has(h)
+                keep = shared.has(h) if shared else np.isin(mix(row.astype(np.uint64)) ^ h, known)
                 at, row, h = at[keep], row[keep], h[keep]
                 if not len(at):
                     continue
@@ -379,7 +400,7 @@ def _of_two_tales(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(shared, key, "left_semi")
 
 
-def shared_spans(tales: DataFrame, least: dict[str, int], hot: int = HOT) -> DataFrame:
+def shared_spans(tales: DataFrame, least: dict[str, int], hot: int = HOT, most_bits: int = MOST_BITS) -> DataFrame:
     """(field, tale_id, record, size, start, stop): the maximal spans of a tale's text that another tale has character for character.
 
     ``least`` gives the length of the shortest span for each field.  Texts are taken as stored.  ``start``
@@ -394,10 +415,18 @@ def shared_spans(tales: DataFrame, least: dict[str, int], hot: int = HOT) -> Dat
     seeds = texts.drop("tale_id").mapInArrow(lambda it: _seed_rows(it, sizes), "anchor bigint, tale bigint")
     counted = seeds.groupBy("anchor").agg(F.min("tale").alias("a"), F.max("tale").alias("b"), F.count("*").alias("n"))
     shared = checkpointed(counted.where("a <> b").select("anchor", "n"))
-    table = _table(shared, shared.count())
+    count = shared.count()
     many = shared.where(F.col("n") > hot)
     hot_table = _table(many, many.count())
-    pieces = checkpointed(texts.mapInArrow(lambda it: _piece_rows(it, sizes, table), PIECE).dropDuplicates(["piece"]))
+    if 16 * count <= 1 << most_bits:
+        table = _table(shared, count)
+        cut = texts.mapInArrow(lambda it: _piece_rows(it, sizes, table), PIECE)
+    else:  # only texts with a shared anchor are shuffled, with the list of these
+        coded = texts.withColumn("code", F.xxhash64("tale_id", *(f"`{f}`" for f in fields)))
+        found = coded.select("code", *(f"`{f}`" for f in fields)).mapInArrow(lambda it: _anchor_rows(it, sizes), "anchor bigint, code bigint")
+        known = found.join(shared.select("anchor"), "anchor", "left_semi").groupBy("code").agg(F.collect_set("anchor").alias("known"))
+        cut = coded.join(known, "code").drop("code").mapInArrow(lambda it: _piece_rows(it, sizes, None), PIECE)
+    pieces = checkpointed(cut.dropDuplicates(["piece"]))
     starts = (
         pieces.mapInArrow(lambda it: _left_rows(it, sizes, hot_table), "anchor bigint, tale bigint, piece bigint, idx int, f int, left string")
         .repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _by_group(it, "anchor", lambda t: _starts(t, sizes)), "piece bigint, idx int, l int")

@@ -122,8 +122,8 @@ def amount(spans):
     return len({i for a, b in spans for i in range(a, b)})
 
 
-@pytest.mark.parametrize("hot", [1000, 1, 0])
-def test_shared_spans_agree_with_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(1000, 28), (1, 28), (0, 28), (1000, 4)])
+def test_shared_spans_agree_with_brute_force(spark, hot, bits):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choices("abcé \n👧", k=n))
     passages = [word(n) for n in (19, 20, 21, 45, 60, 400)]
@@ -136,7 +136,7 @@ def test_shared_spans_agree_with_brute_force(spark, hot):
     rows = [(k, t, "Credit line, told by many" if i % 3 == 0 else None, "x") for i, ((k, _), t) in enumerate(texts.items())]
     rows += [rows[0], ("none", None, None, "x"), (None, passages[4], None, "x")]
     df = spark.createDataFrame(rows, "tale_id string, raw_text string, translator string, size string")
-    spans = shared_spans(df, {"raw_text": 20, "translator": 10}, hot)
+    spans = shared_spans(df, {"raw_text": 20, "translator": 10}, hot, bits)
     found = {}
     for r in spans.where("field = 'raw_text'").collect():
         found.setdefault((r.tale_id, r.record), set()).add((r.start, r.stop))
