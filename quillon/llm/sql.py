@@ -62,7 +62,7 @@ _WINDOWS = """
 texts AS (SELECT DISTINCT 'raw_text' AS field, 150 AS least, tale_id, raw_text AS value FROM tales WHERE tale_id IS NOT NULL
   UNION SELECT DISTINCT 'translator', 60, tale_id, translator FROM tales WHERE tale_id IS NOT NULL),
 places AS (SELECT field, least, tale_id, value, unnest(range(length(value) - least + 1)) AS i FROM texts WHERE length(value) >= least),
-windows AS (SELECT field, least, tale_id, value, i, hash(substring(value, (i + 1)::INT, least)) AS w FROM places),
+windows AS (SELECT field, least, tale_id, value, i, md5(substring(value, (i + 1)::INT, least)) AS w FROM places),
 shared AS (SELECT field, w FROM windows GROUP BY field, w HAVING min(tale_id) <> max(tale_id)),
 hits AS (SELECT field, least, tale_id, value, i, lead(i) OVER (PARTITION BY field, tale_id, value ORDER BY i) AS next FROM windows JOIN shared USING (field, w)),
 amounts AS (SELECT field, tale_id, length(value) AS size, sum(CASE WHEN next - i < least THEN next - i ELSE least END) AS shared FROM hits GROUP BY field, tale_id, value)"""
