@@ -8,7 +8,9 @@ shifted by k places at most; the segments are equality-joined on positional subs
 verified with ``levenshtein`` (three errors count only if two of them swap letters).  This is done on the letters and on a spelling key (ph/f, ou/u, k/c ...).
 Three kinds of words that no small number of edits leads to are equality-joined otherwise: words cut short with a full stop on all prefixes of the
 list's words, general words without their inner letters on the first and the last one, words with swapped letters on their sorted letters.  A value means an entry if all of its words belong
-to one of the entry's names, its name among them, and no other entry is as near.  Values left over by an
+to one of the entry's names, each to a word of its own, its name among them, and no other entry is as near.  A name that consists of general
+words only (Upper Karest, if Lower and Greater Karest are listed, too) is meant by a value that has all of them.  Where words of a value are nearest to
+the same word, they are given to the words of the name at the least sum of errors.  Values left over by an
 anti-join with the matches are reported with id 0.
 """
 
@@ -64,6 +66,23 @@ def _list(words) -> str:
 _letters = "array_join(array_sort(split(form, '')), '')"
 _ERRORS = "CASE WHEN length(form) <= 3 THEN 0 WHEN length(form) <= 5 THEN 1 WHEN length(form) <= 6 THEN 2 ELSE 3 END"
 
+# Assignment at least cost by shortest augmenting paths, of ``places`` with their links, ``given`` being right for its places.  For each place
+# left over: the words it can come to if places that hold them move on (word, cost, moves), by rounds until nothing gets cheaper; the cheapest
+# word with room is taken, with its moves.  Null if a place finds no room.
+_NEXT = """flatten(flatten(transform(r.words, w -> transform(filter(held, h -> h.word = w.word), h -> transform(
+    filter(places[h.place].links, l -> l.word <> w.word),
+    l -> named_struct('word', l.word, 'cost', w.cost - h.distance + l.distance, 'length', w.length + 1,
+                      'moves', array_append(w.moves, named_struct('place', h.place, 'word', l.word, 'times', l.times, 'distance', l.distance))))))))"""
+_CHEAPEST = f"transform(array(array_sort(concat(r.words, {_NEXT}))), a -> filter(a, (x, i) -> i = 0 OR get(a, i - 1).word <> x.word))[0]"
+_REACHED = f"""aggregate(sequence(1, size(held) + 1),
+    named_struct('words', transform(p.links, l -> named_struct('word', l.word, 'cost', l.distance, 'length', 1,
+      'moves', array(named_struct('place', p.place, 'word', l.word, 'times', l.times, 'distance', l.distance)))), 'more', true),
+    (r, i) -> CASE WHEN r.more THEN transform(array({_CHEAPEST}), b -> named_struct('words', b, 'more', b <> r.words))[0] ELSE r END).words"""
+_ASSIGNED = f"""aggregate(filter(places, p -> NOT exists(given, g -> g.place = p.place)), given, (held, p) -> CASE WHEN held IS NOT NULL THEN transform(
+    array(array_min(transform(filter({_REACHED}, w -> size(filter(held, h -> h.word = w.word)) < element_at(w.moves, -1).times),
+                              w -> named_struct('cost', w.cost, 'length', w.length, 'moves', w.moves))).moves),
+    moves -> concat(filter(held, h -> NOT exists(moves, x -> x.place = h.place)), moves))[0] END)"""
+
 
 def steps(c: Conventions) -> dict[str, str]:
     """The SQL of each step, by the name that later ones read it by."""
@@ -75,18 +94,22 @@ def steps(c: Conventions) -> dict[str, str]:
             SELECT DISTINCT v.field, v.value, regexp_replace(regexp_replace({_fold("v.value")}, '[\\\\s\\\\p{{{{Z}}}}_-]+', ' '), {remarks}, ' ') AS folded
             FROM (SELECT DISTINCT field, value FROM {{stacked}}) v
             LEFT ANTI JOIN {{listed}} c ON v.field = c.field AND v.value = c.canonical""",
-        # Words of the names of each entry; general ones are marked.
+        # Words of the names of each entry and how often a name has them; general ones are marked, names of general words only (whole),
+        # and the words that a name is found by (anchor): those not general, or the rarest one if all are.
         "name_words": f"""
             WITH names AS (
               SELECT DISTINCT value_id, field, {_fold("name")} AS name
               FROM {{listed}} LATERAL VIEW explode(concat(array(canonical), coalesce(also_known_as, array()))) n AS name
               WHERE name IS NOT NULL AND value_id IS NOT NULL),
             words AS (
-              SELECT DISTINCT value_id, field, name, word
+              SELECT value_id, field, name, word, count(*) AS times
               FROM names LATERAL VIEW explode(regexp_extract_all(name, '[\\\\p{{{{L}}}}\\\\p{{{{N}}}}]+', 0)) w AS word
-              WHERE word NOT IN ({_list(c.noise)})),
-            general AS (SELECT word FROM words GROUP BY word HAVING count(DISTINCT value_id) >= {SHARED})
-            SELECT w.*, g.word IS NOT NULL AS general FROM words w LEFT JOIN general g ON w.word = g.word""",
+              WHERE word NOT IN ({_list(c.noise)}) GROUP BY value_id, field, name, word),
+            shared AS (SELECT word, count(DISTINCT value_id) AS entries FROM words GROUP BY word)
+            SELECT value_id, field, name, word, times, entries >= {SHARED} AS general, rarest.entries >= {SHARED} AS whole,
+                   entries < {SHARED} OR rarest.entries >= {SHARED} AND word = rarest.word AS anchor
+            FROM (SELECT w.*, s.entries, min(struct(s.entries, w.word)) OVER (PARTITION BY w.value_id, w.field, w.name) AS rarest
+                  FROM words w JOIN shared s ON w.word = s.word)""",
         # Words of the values: place, letters, and whether a full stop follows.
         "value_words": f"""
             SELECT field, value, place, replace(token, '.', '') AS word, token LIKE '%.' AS dot
@@ -152,29 +175,38 @@ def steps(c: Conventions) -> dict[str, str]:
                 FROM (SELECT * FROM {near} UNION ALL SELECT * FROM {short} UNION ALL SELECT * FROM {signs} UNION ALL SELECT * FROM {swapped})
                 GROUP BY field, entered, dot, word, general))
             WHERE distance = least OR NOT general""",
-        # Names of entries that hold a name word of the value; then all words of the value must belong to that name.
-        "matches": """
+        # Names of entries that hold an anchor among the words of the value; then all words of the value must belong to that name.
+        # ``links``: the words of the name that the word at a place may be; ``given``: the places that get the nearest one.
+        "fits": """
             WITH whole AS (SELECT field, value, count(*) AS words FROM {value_words} GROUP BY field, value),
-            sized AS (SELECT field, value_id, name, count(*) AS words FROM {name_words} GROUP BY field, value_id, name),
+            sized AS (SELECT field, value_id, name, sum(times) AS words, any_value(whole) AS whole FROM {name_words} GROUP BY field, value_id, name),
             by_name AS (
               SELECT /*+ REPARTITION({parts}, field, value) */ DISTINCT v.field, v.value, n.value_id, n.name
               FROM {value_words} v
-              JOIN {meant} m ON v.field = m.field AND v.word = m.entered AND v.dot = m.dot AND NOT m.general
-              JOIN {name_words} n ON m.field = n.field AND m.word = n.word AND NOT n.general),
-            covered AS (
-              SELECT b.field, b.value, b.value_id, b.name, v.place, min(m.distance) AS distance, min_by(n.word, struct(m.distance, n.word)) AS word
+              JOIN {meant} m ON v.field = m.field AND v.word = m.entered AND v.dot = m.dot
+              JOIN {name_words} n ON m.field = n.field AND m.word = n.word AND m.general = n.general AND n.anchor),
+            linked AS (
+              SELECT b.field, b.value, b.value_id, b.name, v.place, n.word, n.times, min(m.distance) AS distance
               FROM by_name b
               JOIN {value_words} v ON b.field = v.field AND b.value = v.value
               JOIN {meant} m ON v.field = m.field AND v.word = m.entered AND v.dot = m.dot
               JOIN {name_words} n ON b.field = n.field AND b.value_id = n.value_id AND b.name = n.name AND m.word = n.word
-              GROUP BY b.field, b.value, b.value_id, b.name, v.place),
-            scored AS (
-              SELECT c.field, c.value, c.value_id, min(struct(c.distance, s.words - c.words AS missing)) AS score
-              FROM (SELECT field, value, value_id, name, count(*) AS words, count(DISTINCT word) AS kinds, sum(distance) AS distance
-                    FROM covered GROUP BY field, value, value_id, name) c
-              JOIN whole w ON c.field = w.field AND c.value = w.value AND c.words = w.words AND c.kinds = c.words
+              GROUP BY b.field, b.value, b.value_id, b.name, v.place, n.word, n.times),
+            placed AS (
+              SELECT field, value, value_id, name, place, array_sort(collect_list(struct(distance, word, times))) AS links
+              FROM linked GROUP BY field, value, value_id, name, place),
+            covered AS (
+              SELECT c.*, s.words - w.words AS missing, transform(places, p -> named_struct('place', p.place, 'word', p.links[0].word, 'times', p.links[0].times, 'distance', p.links[0].distance)) AS nearest
+              FROM (SELECT field, value, value_id, name, transform(array_sort(collect_list(struct(place, links))), (p, i) -> named_struct('place', i, 'links', p.links)) AS places FROM placed GROUP BY field, value, value_id, name) c
+              JOIN whole w ON c.field = w.field AND c.value = w.value AND size(c.places) = w.words
               JOIN sized s ON c.field = s.field AND c.value_id = s.value_id AND c.name = s.name
-              GROUP BY c.field, c.value, c.value_id)
+              WHERE w.words = s.words OR w.words < s.words AND NOT s.whole)
+            SELECT field, value, value_id, missing, places, filter(nearest, (x, i) -> size(filter(slice(nearest, 1, i), y -> y.word = x.word)) < x.times) AS given FROM covered""",
+        "matches": f"""
+            WITH scored AS (
+              SELECT field, value, value_id, min(struct(aggregate(given, 0, (e, x) -> e + x.distance) AS distance, missing)) AS score
+              FROM (SELECT field, value, value_id, missing, CASE WHEN size(given) = size(places) THEN given ELSE {_ASSIGNED} END AS given FROM {{fits}})
+              WHERE given IS NOT NULL GROUP BY field, value, value_id)
             SELECT field, value, min(value_id) AS value_id FROM (
               SELECT *, rank() OVER (PARTITION BY field, value ORDER BY score) AS place FROM scored)
             WHERE place = 1 GROUP BY field, value HAVING count(*) = 1""",

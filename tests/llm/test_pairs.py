@@ -202,6 +202,27 @@ def test_canonical_ids(spark):
     assert {r.value_id for r in canonical_ids(df, listed.limit(0), ["region"]).collect()} == {0}
 
 
+ALIKE = [
+    (1, "region", "Bora Bora", []), (2, "region", "Bora", []), (3, "region", "Tula Tulan", []), (4, "region", "Upper Gaijeshith", []), (5, "region", "Lower Gaijeshith", []), (6, "region", "Greater Gaijeshith", ["Old Kozotres"]),
+    (7, "region", "Upper Hepaigrol", []), (8, "region", "Lower Hepaigrol", []), (9, "region", "Greater Hepaigrol", None), (10, "region", "Upper Kusk", []), (11, "region", "Lower Kusk", []), (12, "region", "Greater Kuskas", []),
+    (13, "region", "Karin Karen Karan", []), (14, "region", "Tulas Tulat Tulav", []), (15, "region", "Tulat Zulan Tulab", []),
+]
+
+
+@pytest.mark.parametrize(
+    "cases",
+    [
+        [("bora bora", 1), ("Bora-bora", 1), ("bora", 2), ("bora bora bora", 0)],  # a name may have a word twice
+        [("upper gaijeshith", 4), ("Lwr Gaijeshit", 5), ("Greater HEPAIGROL", 9), ("upper kusk", 10), ("upper", 0), ("gaijeshith", 0), ("Upper Lower", 0), ("Upper Lower Gaijeshith", 0)],  # names of general words
+        [("tula tulam", 3), ("Karin Karyn Karen", 13), ("tulat tulan tulas", 14), ("karen karen karen karen", 0)],  # words nearest to the same word
+    ],
+)
+def test_canonical_ids_of_words_alike(spark, cases):
+    listed = spark.createDataFrame(ALIKE, "value_id bigint, field string, canonical string, also_known_as array<string>")
+    got = canonical_ids(spark.createDataFrame(cases, "region string, expected int"), listed, ["region"], key="region").collect()
+    assert {r.region: r.value_id for r in got} == dict(cases) and len(got) == len(cases)
+
+
 def test_packed_keys_come_back():
     names, sizes = np.array([5, 6, 7], np.uint64), np.array([3, 4, 5])
     who, keys = np.array([0, 2, 2, 1]), np.array([1 << 40, 2 << 40, 3, 2**64 - 1], np.uint64)
