@@ -195,9 +195,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phantom_qrels": lambda s, d: evaluation.phantoms(evaluation.current(table(s, d, "qrels")), index(s, d)),
     "qrels_current": lambda s, d: evaluation.current(table(s, d, "qrels")).select("query_id", "query_text", F.size("judgments").alias("judgments")),
     "judgments": lambda s, d: evaluation.judgments(evaluation.current(table(s, d, "qrels"))).select("query_id", "doc_id", "grade", F.col("relevant").cast("int").alias("relevant")),
-    "divergence_matrix": lambda s, d: divergence.rounded(divergence.pair_scores(index(s, d), TYPE)).select("doc_a", "doc_b", "cosine", "jaccard", "overlap"),
-    "divergence_summary": lambda s, d: divergence.summary(divergence.pair_scores(index(s, d), TYPE)),
-    "divergence_heat": lambda s, d: divergence.symmetric(divergence.rounded(divergence.pair_scores(index(s, d), TYPE))).groupBy("doc_a", "heat").agg(F.count("*").alias("pairs")),
+    "divergence_matrix": lambda s, d: divergence.matrix(index(s, d), TYPE).select("doc_a", "doc_b", "cosine", "jaccard", "overlap"),
+    "divergence_summary": lambda s, d: divergence.summary(index(s, d), TYPE),
+    "divergence_heat": lambda s, d: divergence.heat_counts(index(s, d), TYPE),
     "divergence_nearest": lambda s, d: divergence.nearest_variants(index(s, d), TYPE).select("doc_id", "other", "cosine", "place"),
     "centroid_top_terms": lambda s, d: divergence.centroid_terms(index(s, d), TYPE),
     "spelling_corrections": lambda s, d: spelling.corrections(log_terms(s, d), index(s, d).term_stats),

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from quillon.functions.text import query_tokens
 from quillon.operators.bm25 import bm25_search
 from quillon.operators.boolean import And, BooleanParseError, Not, Or, Term, boolean_search, matched_stems, parse, upper_operators
+from quillon.operators import divergence as dv
 from quillon.operators.divergence import divergence, nearest_variants, symmetric
 from quillon.operators.feedback import local_rerank, pseudo_feedback, rocchio
 from quillon.operators.index import build_index
@@ -166,6 +167,28 @@ def test_divergence_of_one(spark):
     assert (s.pairs, s.mean, s.least, s.greatest, s.similar_a) == (0, 0, 0, 0, None)
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """Sixty variants of one type, the same text among them again and again, one without terms, with their terms."""
+    words = "ash birch cedar elm fir hazel ivy larch maple oak pine rowan spruce teak willow yew".split()
+    tales = [(f"V{i * 7 % 60:02}", words[i % 16], " ".join(words[j] for j in range(16) if (i % 29) * 37 % (j + 3) < 2)) for i in range(59)] + [("V99", "", "")]
+    return build_index(corpus(spark, tales)), {i: {*t.split(), *b.split()} for i, t, b in tales}, [i for i, _, _ in tales]
+
+
+def test_divergence_in_blocks(many, monkeypatch):
+    index, terms, order = many
+    exact = {r.doc_id: {} for r in index.registry.collect()}
+    for r in index.document_vector(*order).collect():
+        exact[r.doc_id][r.term] = r.weight
+    pairs = {(a, b): (cosine(exact[a], exact[b]), len(terms[a] & terms[b]) / max(1, len(terms[a] | terms[b]))) for k, a in enumerate(order) for b in order[k + 1 :]}
+    for block in (9, 100):
+        monkeypatch.setattr(dv, "BLOCK", block)
+        matrix = dv.matrix(index, "t")
+        rows = {(r.doc_a, r.doc_b): (r.cosine, r.jaccard, r.overlap) for r in matrix.collect()}
+        assert len(rows) == 60 * 59 / 2 and rows == {p: (round(c, 4), pytest.approx(j, abs=6e-5), pytest.approx(100 * j, abs=6e-3)) for p, (c, j) in pairs.items()}
+        assert "Join" not in matrix._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
+
+
 def test_scores_are_cosines(tiny):
     for query in ("bell", "hammer smith", "bread bell winter"):
         assert all(0 <= s <= 1.000001 for _, s in found(vsm_search(tiny, query)))
