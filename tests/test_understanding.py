@@ -1,7 +1,10 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from conftest import corpus
 
-from quillon.operators.evaluation import batch_cosine, best_mode, current, evaluate, judgments, macro_average, metrics, phantoms, pivoted, read_qrels, retrieve, rounded
+from quillon.operators.evaluation import Queries, _scored, all_terms_places, batch_all_terms, batch_cosine, best_mode, current, evaluate, judgments, macro_average, metrics, phantoms, pivoted, plain_weights, read_qrels, retrieve, rounded
 from quillon.operators.index import build_index
 from quillon.operators.language import batch_entities, parse_question, strip_fillers
 from quillon.operators.spelling import correct_terms, corrections
@@ -116,3 +119,28 @@ def test_long_queries_in_blocks(tiny, by_hand, block):
         expected |= {(q, k + 1): (j, -x) for k, (x, j) in enumerate(found[:2])}
     assert got == expected
     assert batch_cosine(tiny, df.limit(0), 2).count() == 0
+
+
+def test_places_of_judged_documents(spark, tiny):
+    """As the whole ranking has them, ties included; more would be shuffled if all documents were."""
+    rows = [(f"D{i:02}", "lamp", "the lamp of a king " * (1 + i % 3)) for i in range(40)]
+    index = build_index(corpus(spark, rows))
+    queries = spark.createDataFrame([("a", "lamp", 1), ("b", "lamp", 1), ("b", "king", 1), ("c", "lamp", 1), ("c", "none", 1), ("d", "king", 2)], "query_id string, term string, qtf bigint")
+    judged = spark.createDataFrame([(q, f"D{i:02}") for q in "abc" for i in (0, 7, 8, 39)] + [("a", "D99")], "query_id string, doc_id string")
+    full = {(r.query_id, r.doc_id): r["rank"] for r in batch_all_terms(index, queries).collect()}
+    got = all_terms_places(index, queries, judged).collect()
+    assert {(r.query_id, r.doc_id): r["rank"] for r in got if r.doc_id} == {k: full[k] for k in map(tuple, judged.collect()) if k in full}
+    assert {q: sum(r.times for r in got if r.query_id == q) for q in "abcd"} == {"a": 40, "b": 40, "c": 0, "d": 40} and len(got) == 8 + 3
+
+
+def test_many_queries_in_bounded_memory():
+    """Queries and documents that share all their terms: the products of 3,000 with 3,000 by 60 terms are 540 million."""
+    n, terms = 3_000, [f"t{i}" for i in range(60)]
+    lists = pa.array([[{"term": t, "tf": 1 + i % 5, "tf_title": 0, "tf_body": 1 + i % 5, "df": n} for t in terms] for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"D{i:04}" for i in range(n)]), lists], ["doc_id", "terms"])
+    m = Queries.of(pa.table({"query_id": [f"Q{i:04}" for i in range(n) for _ in terms], "term": terms * n, "q": [1.0] * (60 * n)}))
+    tracemalloc.start()
+    (out,) = _scored([batch], m, lambda *x: plain_weights(*x, n, 60.0), 20, True, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700e6 and len(out) == 20 * n and set(out.column(2).to_pylist()) == {1.0} and set(out.column(1).to_pylist()) == {f"D{i:04}" for i in range(20)}
