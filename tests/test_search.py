@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from conftest import TALES, corpus, cosine
@@ -186,6 +187,14 @@ def test_divergence_in_blocks(many, monkeypatch):
         matrix = dv.matrix(index, "t")
         rows = {(r.doc_a, r.doc_b): (r.cosine, r.jaccard, r.overlap) for r in matrix.collect()}
         assert len(rows) == 60 * 59 / 2 and rows == {p: (round(c, 4), pytest.approx(j, abs=6e-5), pytest.approx(100 * j, abs=6e-3)) for p, (c, j) in pairs.items()}
+        most, least = (min(pairs, key=lambda p: (f * round(pairs[p][0], 4), order.index(p[0]), order.index(p[1]))) for f in (-1, 1))
+        found = dv.summary(index, "t").first()
+        assert (found.pairs, found.similar_a, found.similar_b, found.divergent_a, found.divergent_b) == (len(pairs), *most, *least)
+        heats = Counter((i, "high" if round(c, 4) > 0.5 else "mid" if round(c, 4) > 0.25 else "low") for p, (c, _) in pairs.items() for i in p)
+        assert {(r.doc_a, r.heat): r.pairs for r in dv.heat_counts(index, "t").collect()} == heats
+        near = {i: sorted((-round(c, 6), *({*p} - {i})) for p, (c, _) in pairs.items() if i in p and c > 0)[:3] for i in order}
+        got = {(r.doc_id, r.place): (-r.cosine, r.other) for r in nearest_variants(index, "t", 3).collect()}
+        assert got == {(i, k + 1): x for i in order for k, x in enumerate(near[i])}
         assert "Join" not in matrix._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
 
 
