@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 #: Rows and columns of a tile of scores, terms of it that are multiplied as a dense matrix at once, and single products that are added up at once.
 TILE, SLAB, LOT = 2_000, 500, 500_000
-#: A term is multiplied densely if it has at least this part of a tile's cells: a dense product takes some 0.04 ns a cell, a single one 40 ns.
+#: A term is multiplied densely if it has at least this part of a tile's cells: measured, a dense product took 0.04 ns a cell, an added one 23 ns without its index.
 DENSE = 0.001
 
 
